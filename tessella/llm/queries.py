@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.tables import table
-from . import lookalikes, packing, proportions, tokens
+from . import lookalikes, packing, proportions, tokens, truncation
 
 _CATEGORY = ["lang", "threat", "identity_hate"]
 
@@ -60,7 +60,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d))
 
 
-_QUERIES = [p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill]
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(truncation.judged(table(spark, d, "documents")))
+
+
+_QUERIES = [p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
