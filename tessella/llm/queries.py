@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.tables import table
-from . import lookalikes, packing, proportions, tokens, truncation
+from . import language, lookalikes, packing, proportions, tokens, truncation
 
 _CATEGORY = ["lang", "threat", "identity_hate"]
 
@@ -18,6 +18,19 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "split").where("split = 'train'")
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    split = table(spark, d, "split")
+    return language.segments(spark, split, language.fit(language.labelled_sample(split)))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "split"), _segments(spark, d))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     report = proportions.availability(_train(spark, d), table(spark, d, "target_mix"), _CATEGORY)
     return report.where("deficit > 0").select("plan_id", *_CATEGORY)
@@ -68,7 +81,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
 
 
-_QUERIES = [p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
