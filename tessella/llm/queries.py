@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.tables import table
-from . import language, lookalikes, packing, proportions, tokens, truncation
+from . import language, lookalikes, packing, proportions, similar, tokens, truncation
 
 _CATEGORY = ["lang", "threat", "identity_hate"]
 
@@ -31,6 +31,14 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.expanded(*similar.similar(spark, table(spark, d, "split")))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar.groups(*similar.similar(spark, table(spark, d, "split")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     report = proportions.availability(_train(spark, d), table(spark, d, "target_mix"), _CATEGORY)
     return report.where("deficit > 0").select("plan_id", *_CATEGORY)
@@ -81,7 +89,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
 
 
-_QUERIES = [p1_found, p1_segments, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
