@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.tables import table
-from . import language, lookalikes, packing, proportions, similar, tokens, truncation
+from . import language, lookalikes, overlaps, packing, proportions, similar, tokens, truncation
 
 _CATEGORY = ["lang", "threat", "identity_hate"]
 
@@ -60,6 +60,19 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(table(spark, d, "split").select("row_id", "comment_text")).select("row_id", "look")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlaps(spark, table(spark, d, "split")).select("row_id")
+
+
+def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlaps(spark, table(spark, d, "split"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    split = table(spark, d, "split")
+    return overlaps.report(split, overlaps.overlaps(spark, split))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(spark, table(spark, d, "documents"))
 
@@ -89,7 +102,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
 
 
-_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
