@@ -42,9 +42,21 @@ def base_code(lang: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(lang), r"^([A-Za-z]{2,3})(?:[-_][A-Za-z0-9]+)*$", 1))
 
 
+_BREAK = "qzxqz"  # stands for a sentence break while a text is read as a whole
+
+
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of a text; sentences without a word are left out."""
-    return [w for s in _STOP_RE.split(text) if s and (w := words(s))]
+    out, now = [], []
+    for w in words(_STOP_RE.sub(f" {_BREAK} ", text)):
+        if w != _BREAK:
+            now.append(w)
+        elif now:
+            out.append(now)
+            now = []
+    if now:
+        out.append(now)
+    return out
 
 
 def grams(word: str) -> list[str]:
@@ -69,12 +81,24 @@ class Model:
         self.families = [f for f in FAMILIES if any(x in languages for x in FAMILIES[f])]
         self.pairs = [p for f in self.families for p in combinations([x for x in FAMILIES[f] if x in languages], 2)]
 
-    def word_vector(self, word: str) -> np.ndarray:
+    def word_vectors(self, new: list[str]) -> np.ndarray:
+        """The machines' weights of each word: of itself and, together of length one or so, of its n-grams."""
         get = self.index.get
-        ids = [i for g in grams(word) if (i := get(g)) is not None]
-        v = self.weights[ids].sum(0) / np.sqrt(len(word) * 3) if ids else np.zeros(self.weights.shape[1], np.float32)
-        own = get(" " + word)
-        return v if own is None else v + self.weights[own]
+        flat, lens = [], []
+        for w in new:
+            ids = [i for g in grams(w) if (i := get(g)) is not None]
+            flat += ids
+            lens.append(len(ids))
+        out = np.zeros((len(new), self.weights.shape[1]), np.float32)
+        n = np.array(lens)
+        some = np.flatnonzero(n)
+        if len(some):
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])[some]
+            out[some] = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(np.array([len(new[k]) * 3 for k in some], np.float32))[:, None]
+        own = [get(" " + w, -1) for w in new]
+        known = np.flatnonzero(np.array(own) >= 0)
+        out[known] += self.weights[[own[k] for k in known]]
+        return out
 
     def scores(self, machines: np.ndarray) -> np.ndarray:
         """Score of each language from the machines' outputs: its family's margin plus its mean margin within the family."""
@@ -239,9 +263,9 @@ def _machines(model: Model, cache: list, flat: list[str], lens: np.ndarray) -> n
         start = len(ids)
         if start + len(new) > len(vectors):
             vectors = cache[1] = np.concatenate([vectors, np.zeros((max(len(vectors), len(new)), vectors.shape[1]), np.float32)])
-        for k, w in enumerate(new):
-            ids[w] = start + k
-            vectors[start + k] = model.word_vector(w)
+        ids.update(zip(new, range(start, start + len(new))))
+        for at in range(0, len(new), 5000):
+            vectors[start + at : start + at + 5000][: len(new) - at] = model.word_vectors(new[at : at + 5000])
     if not flat:
         return np.zeros((0, len(model.bias)), np.float32)
     at = np.fromiter((ids[w] for w in flat), np.int64, len(flat))
