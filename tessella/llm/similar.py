@@ -101,8 +101,8 @@ def signatures(tokens: np.ndarray, starts: np.ndarray, n: np.ndarray, long: np.n
     h = _mix(tokens.view(np.uint32).astype(np.uint64) + _ODD)
     sketch = np.zeros(m, np.uint64)
     if len(tokens):
-        full = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts[:-1])
-        sketch = full
+        # parity of the words in each of 64 buckets: two records differ in no more bits than words
+        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts[:-1])
     at = np.searchsorted(long, tokens)
     frequent = (long[np.minimum(at, len(long) - 1)] == tokens) if len(long) else np.zeros(len(tokens), bool)
     rare = ~frequent
@@ -122,7 +122,7 @@ def signatures(tokens: np.ndarray, starts: np.ndarray, n: np.ndarray, long: np.n
     active = np.flatnonzero((most >= 0) & (r < prefix))
     fi = np.flatnonzero(frequent)
     fo, fh = own[fi], h[fi]
-    level = 1
+    level = 2
     while len(active):
         parts = 1 << level
         on = np.zeros(m, bool)
@@ -151,23 +151,34 @@ def _keyed(spark: SparkSession, sets: DataFrame, long: np.ndarray, threshold: fl
     shared = spark.sparkContext.broadcast(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
+                lo = b.column(0).to_pylist()
+                new = [k for k, x in enumerate(lo) if x not in seen and not seen.add(x)]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if len(new) < len(lo):
+                    b = b.take(pa.array(new, pa.int64()))
+                if not b.num_rows:
+                    continue
                 lists = b.column(2)
                 starts = np.asarray(lists.offsets).astype(np.int64)
                 tokens = np.asarray(lists.values)[starts[0] : starts[-1]]
                 ids, n = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
                 rows, keys, sketch = signatures(tokens, starts - starts[0], n, shared.value, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array(sketch[rows].view(np.int64))], ["key", "id", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array(sketch[rows].view(np.int64))], ["key", "lo", "n", "sketch"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, "key long, id long, n int, sketch long")
+    return sets.select("lo", "n", "tokens").mapInArrow(run, "key long, lo long, n int, sketch long")
 
 
 def _merged(threshold: float, width: int = 1 << 15):
     """Merges sorted lists: pairs of each list that sizes and sketches cannot rule out."""
 
     def pairs(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        once = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]  # a set that several partitions hold
+        key, ids, n, sketch = key[once], ids[once], n[once], sketch[once]
         at = np.arange(len(key) - 1)
         k = 1
         while len(at):
@@ -237,6 +248,13 @@ def _probed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return j.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def read_only(texts: DataFrame, pairs: DataFrame, sides: list[str], most: int = 500_000) -> DataFrame:
+    """The texts that some pair names.  The list of ids is broadcast up to `most` ids (8 MB), joined by a shuffle beyond."""
+    ids = pairs.select(F.explode(F.array(*sides)).alias("id")).distinct()
+    small = pairs.count() * len(sides) <= most
+    return texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
 def similar(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str = "comment_text", threshold: float = 0.8, least: int = 12) -> tuple[DataFrame, DataFrame]:
     """(membership, links): `id`, `rep` of every row with at least `least` distinct words, and similar pairs `a` < `b` of representatives.
 
@@ -248,14 +266,14 @@ def similar(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str =
     """
     sets = keep(word_sets(df, key, text, least))
     long = _long_lists(sets)
-    reps = sets.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
+    reps = keep(sets.groupBy("lo", "hi").agg(F.min("id").alias("rep")))
     members = keep(sets.select("id", "lo", "hi").join(reps, ["lo", "hi"]).select("id", "rep").distinct())
-    first = members.where("id = rep").select("id")
-    chosen = sets.join(first, "id", "left_semi").dropDuplicates(["id"])
-    keyed = _keyed(spark, chosen, long, threshold)
-    candidates = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_merged(threshold), "a long, b long").distinct()
+    keyed = _keyed(spark, sets, long, threshold)
+    candidates = keyed.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(_merged(threshold), "a long, b long").distinct()
+    named = candidates.join(reps.select(F.col("lo").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("lo").alias("b"), F.col("rep").alias("y")), "b")
+    pairs = keep(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    links = keep(_probed(candidates, texts, threshold).distinct())
+    links = keep(_probed(pairs, read_only(texts, pairs, ["a", "b"]), threshold).distinct())
     return members, links
 
 
