@@ -88,7 +88,25 @@ def _long_lists(sets: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counts.where(F.col("count") > limit).select("w").toLocalIterator()], np.int32))
 
 
-def signatures(tokens: np.ndarray, starts: np.ndarray, n: np.ndarray, long: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_BITS = 108
+_SIZE = (1 << 20) - 1  # greatest number of words that fits beside the second part of a sketch
+
+
+def parity(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch of each record: parity of its words in each of 108 buckets, in two parts of 64 and 44 bits.  Two records differ in no more bits than words."""
+    b = (h >> np.uint64(32)) % np.uint64(_BITS)
+    one = np.uint64(1)
+    low = np.where(b < 64, one << (b & np.uint64(63)), np.uint64(0))
+    high = np.where(b >= 64, one << (b & np.uint64(63)), np.uint64(0))
+    return np.bitwise_xor.reduceat(low, starts[:-1]), np.bitwise_xor.reduceat(high, starts[:-1])
+
+
+def packed_size(n: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The number of words and the second part of the sketch in one integer."""
+    return ((high << np.uint64(20)) | np.minimum(n, _SIZE).astype(np.uint64)).view(np.int64)
+
+
+def signatures(tokens: np.ndarray, starts: np.ndarray, n: np.ndarray, long: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Keys of the lists each record is merged in: positions of records, keys, and the sketch of every record.
 
     `tokens[starts[i]:starts[i+1]]` are the words of record i.  Two records
@@ -99,10 +117,9 @@ def signatures(tokens: np.ndarray, starts: np.ndarray, n: np.ndarray, long: np.n
     lens = np.diff(starts)
     own = np.repeat(np.arange(m), lens)
     h = _mix(tokens.view(np.uint32).astype(np.uint64) + _ODD)
-    sketch = np.zeros(m, np.uint64)
+    sketch = (np.zeros(m, np.uint64), np.zeros(m, np.uint64))
     if len(tokens):
-        # parity of the words in each of 64 buckets: two records differ in no more bits than words
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts[:-1])
+        sketch = parity(h, starts)
     at = np.searchsorted(long, tokens)
     frequent = (long[np.minimum(at, len(long) - 1)] == tokens) if len(long) else np.zeros(len(tokens), bool)
     rare = ~frequent
@@ -168,17 +185,18 @@ def _keyed(spark: SparkSession, sets: DataFrame, long: np.ndarray, threshold: fl
                 tokens = np.asarray(lists.values)[starts[0] : starts[-1]]
                 ids, n = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
                 rows, keys, sketch = signatures(tokens, starts - starts[0], n, shared.value, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array(sketch[rows].view(np.int64))], ["key", "lo", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(packed_size(n, sketch[1])[rows]), pa.array(sketch[0][rows].view(np.int64))], ["key", "lo", "more", "sketch"])
 
-    return sets.select("lo", "n", "tokens").mapInArrow(run, "key long, lo long, n int, sketch long")
+    return sets.select("lo", "n", "tokens").mapInArrow(run, "key long, lo long, more long, sketch long")
 
 
 def _merged(threshold: float, width: int = 1 << 15):
     """Merges sorted lists: pairs of each list that sizes and sketches cannot rule out."""
 
-    def pairs(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, ids: np.ndarray, more: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         once = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]  # a set that several partitions hold
-        key, ids, n, sketch = key[once], ids[once], n[once], sketch[once]
+        key, ids, more, sketch = key[once], ids[once], more[once], sketch[once]
+        n, high = (more & np.uint64(_SIZE)).astype(np.int64), more >> np.uint64(20)
         at = np.arange(len(key) - 1)
         k = 1
         while len(at):
@@ -190,8 +208,9 @@ def _merged(threshold: float, width: int = 1 << 15):
                 i = at[s : s + width]
                 j = i + k
                 lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                differ = np.bitwise_count(sketch[i] ^ sketch[j])
-                ok = (lo >= threshold * hi - 1e-9) & (differ <= (lo + hi) * ((1 - threshold) / (1 + threshold)) + 1e-9) & (ids[i] != ids[j])
+                differ = np.bitwise_count(sketch[i] ^ sketch[j]) + np.bitwise_count(high[i] ^ high[j])
+                ok = (hi == _SIZE) | (lo >= threshold * hi - 1e-9) & (differ <= (lo + hi) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+                ok &= ids[i] != ids[j]
                 if ok.any():
                     a, b = ids[i[ok]], ids[j[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -200,7 +219,7 @@ def _merged(threshold: float, width: int = 1 << 15):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), np.asarray(b.column(3)).view(np.uint64)]
+            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), *(np.asarray(b.column(c)).view(np.uint64) for c in (2, 3))]
             if not len(cols[0]):
                 continue
             last = np.searchsorted(cols[0], cols[0][-1]) if cols[0][0] != cols[0][-1] else 0
