@@ -27,7 +27,7 @@ _LINK_RE = re.compile(r"(?:^|[\s(\[\"'>])((?:https?|www|http)(?:[:.]\S*)?)$")
 _WHOLE_LINK_RE = re.compile(r"https?://[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?::\d+)?(?:/[^\s/?=&#]+)*/?(?:\?[\w.-]+=[\w.-]+(?:&[\w.-]+=[\w.-]+)*)?(?:#[\w.-]+)?$")
 _ENTITY_RE = re.compile(r"&(?:#x?)?[A-Za-z0-9]{0,7}$")
 _WHOLE_ENTITY_RE = re.compile(r"&(?:#x?)?[A-Za-z0-9]{2,8};$")
-_ESCAPE_RE = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]?)$")
+_ESCAPE_RE = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?)$")
 _TAG_RE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 _OPEN_TAG_RE = re.compile(r"</?[A-Za-z!]?[^<>]*$")
 _FACE_RE = re.compile(r"(?<!\w)[:;=8xX]-?[()\[\]DPpdO3/\\|]+|(?<!\w)<3|(?<!\w)\d{1,2}\)|(?m:^\s*[a-z]\))")
@@ -55,7 +55,7 @@ def open_at_end(text: str) -> str:
         return "link"
     if _ENTITY_RE.search(t) and not m:
         return "entity"
-    if _ESCAPE_RE.search(t) and not t[-2:-1].isdigit():
+    if _ESCAPE_RE.search(t):
         return "escape"
     # the automaton: tags, then brackets and quotes outside tags and emoticons
     tags: list[str] = []
@@ -133,6 +133,9 @@ def _facts(texts: list[str | None]) -> dict[str, list[int]]:
         if not t:
             continue
         ts = _TOKEN_RE.findall(shown(t) if not t.isascii() else t)
+        if ts and (ts[-1] == "…" or ts[-2:] == [".", "."]):
+            while ts and ts[-1] in ".…":
+                ts.pop()  # dots may mark a cut: the word before them ends nothing
         before, key = "", ""
         for i in range(len(ts) - 1):
             w = ts[i]
