@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,8 @@ def write_csv(df: DataFrame, path: str, rows_a_file: int = 0, mode: str = "error
 
 def encoding_of(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
     """The first encoding that decodes every file of a path; checked on the executors."""
-    import pandas as pd
-
     def fits(encoding: str):
-        @F.pandas_udf("boolean")
+        @F.pandas_udf(T.BooleanType())
         def f(s: pd.Series) -> pd.Series:
             def ok(b: bytes) -> bool:
                 try:
