@@ -14,11 +14,13 @@ def _text(t: str) -> str:
     return " ".join(t.lower().split())
 
 
-def band_keys(t: str, bands: int, width: int, n: int = 4) -> np.ndarray | None:
-    """One key a band of min-hashes of a text's character n-grams; None for a text shorter than n."""
-    points = np.frombuffer(_text(t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(points) < n:
+def band_keys(t: str, bands: int, width: int, n: int = 8) -> np.ndarray | None:
+    """One key a band of min-hashes of a text's character n-grams; None for a blank text."""
+    t = _text(t)
+    points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if not len(points):
         return None
+    n = min(n, len(points))
     h = np.zeros(len(points) - n + 1, np.uint64)
     for i in range(n):
         h = h * np.uint64(0x100000001B3) + points[i : len(points) - n + 1 + i]
@@ -32,7 +34,7 @@ def band_keys(t: str, bands: int, width: int, n: int = 4) -> np.ndarray | None:
 
 
 # odd multipliers, one a min-hash
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _banded(rows: DataFrame, bands: int, width: int) -> DataFrame:
@@ -50,35 +52,55 @@ def _banded(rows: DataFrame, bands: int, width: int) -> DataFrame:
     return rows.select("id", "e", "comment_text").mapInArrow(run, "id long, e boolean, key long")
 
 
-def _cosines(pairs: DataFrame, threshold: float) -> DataFrame:
-    from collections import Counter
-    from math import sqrt
+def profile(t: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 3- and 4-grams of a text, as hashes in order, and how often each occurs."""
+    points = np.frombuffer(_text(t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    all_ = []
+    for n in (3, 4):
+        h = np.full(max(0, len(points) - n + 1), n, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(h)]
+            h ^= h >> np.uint64(31)
+        all_.append(h)
+    grams, counts = np.unique(np.concatenate(all_), return_counts=True)
+    return grams, counts.astype(float)
+
+
+def cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Cosine of two profiles; 0 if one is empty."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    dot = (a[1] * np.where(b[0][at] == a[0], b[1][at], 0)).sum()
+    return float(dot / np.sqrt((a[1] ** 2).sum() * (b[1] ** 2).sum()))
 
-    def vector(t: str) -> Counter:
-        t = _text(t)
-        return Counter(t[i : i + n] for n in (3, 4) for i in range(len(t) - n + 1))
 
+def _cosines(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, sims = [], []
-            for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                a, c = vector(x), vector(y)
-                dot = sum(v * c[g] for g, v in a.items() if g in c)
-                s = dot / sqrt(sum(v * v for v in a.values()) * sum(v * v for v in c.values()))
+            at, sims, seen = [], [], {}
+            for k, both in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                for t in both:
+                    if t not in seen:
+                        if len(seen) > 500:
+                            seen.clear()
+                        seen[t] = profile(t)
+                s = cosine(*(seen.get(t) or profile(t) for t in both))
                 if s >= threshold:
                     at.append(k)
                     sims.append(round(s, 6))
             ix = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(sims, pa.float64())], ["row_id", "train_id", "cosine"])
 
-    return pairs.select("e", "t", "ex", "tx").mapInArrow(run, "row_id long, train_id long, cosine double")
+    spread = pairs.select("e", "t", "ex", "tx").repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism))
+    return spread.mapInArrow(run, "row_id long, train_id long, cosine double")
 
 
-def leaking(df: DataFrame, threshold: float = 0.9, bands: int = 10, width: int = 4) -> DataFrame:
+def leaking(df: DataFrame, threshold: float = 0.9, bands: int = 20, width: int = 4) -> DataFrame:
     """Validation rows with the closest training row whose cosine over 3- and 4-grams reaches `threshold`.
 
     Candidates agree in one of `bands` bands of `width` min-hashes of their
-    4-grams; equal texts stand for each other on both sides, and the cosine is
+    8-grams; equal texts stand for each other on both sides, and the cosine is
     exact.  `row_id`, `train_id`, `cosine`.
     """
     rows = df.where("split in ('train', 'val') and comment_text is not null").select("row_id", "comment_text", (F.col("split") == "val").alias("e"))

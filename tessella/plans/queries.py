@@ -371,6 +371,26 @@ def near_dup_leakage(spark, d):
     return leaking(_split(spark, d))
 
 
+_OK = " AND ".join(f"{x} IS NOT NULL" for x in LABELS)
+_CLEAN_AUG = _C.replace("coalesce(comment_text, '')", "coalesce(text, '')")
+_CORPUS = f"""
+WITH raw AS (SELECT raw_id AS row_id, {_C} AS comment_text, {', '.join(f"greatest(0, least(1, ceil({x})))::INTEGER AS {x}" for x in LABELS)}, lang FROM comments_raw WHERE {_OK}),
+kept AS (SELECT * FROM raw WHERE length(trim(comment_text)) > 0),
+aug AS (SELECT aug_id + 1099511627776 AS row_id, {_CLEAN_AUG} AS comment_text FROM augmented WHERE length(trim(text)) > 0),
+extra AS (SELECT min(row_id) AS row_id, comment_text FROM aug WHERE comment_text NOT IN (SELECT comment_text FROM kept) GROUP BY comment_text),
+merged AS (SELECT * FROM kept UNION ALL SELECT row_id, comment_text, 1, 0, 0, 1, 0, 0, 'en' FROM extra),
+hashed AS (SELECT *, {_HASH} AS h FROM merged), firsts AS (SELECT min(row_id) AS row_id FROM hashed GROUP BY h),
+d AS (SELECT row_id, {_STRATUM} AS stratum, row_number() OVER (ORDER BY {_STRATUM}, {_DRAW}, row_id) - 1 AS i FROM hashed WHERE row_id IN (SELECT row_id FROM firsts))"""
+
+
+@query(_CORPUS + """ SELECT row_id, 'train' AS split FROM d WHERE i % 5 <> 0 UNION ALL
+SELECT row_id, CASE WHEN (row_number() OVER (ORDER BY stratum, md5('42b|' || row_id::VARCHAR), row_id) - 1) % 2 = 0 THEN 'val' ELSE 'test' END FROM d WHERE i % 5 = 0""")
+def corpus_build(spark, d):
+    from .corpus import build
+
+    return build(_raw(spark, d), table(spark, d, "augmented")).split.select("row_id", "split")
+
+
 # --- statistics --------------------------------------------------------------
 
 
