@@ -117,7 +117,7 @@ class Model:
         return out + within
 
 
-def _svm(x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, reg: float = 1e-4, steps: int = 50) -> tuple[np.ndarray, float]:
+def _svm(x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, reg: float = 1e-4, steps: int = 40) -> tuple[np.ndarray, float]:
     """A linear machine (squared hinge loss, L2) by accelerated gradient steps; x in coordinate form."""
     rows, cols, vals = (a.astype(t) for a, t in zip(x, (np.int64, np.int64, np.float64)))
     m = len(y)
@@ -157,7 +157,7 @@ def _svm(x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, re
     return w * scale, b
 
 
-def fit(labelled: list[tuple[str, str]], per_language: int = 700) -> Model:
+def fit(labelled: list[tuple[str, str]], per_language: int = 500) -> Model:
     """A model from (language, text) rows; languages with under two usable sentences are left out.
 
     `per_language` bounds the sentences the machines are fitted on.
@@ -200,24 +200,28 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 700) -> Model:
                 examples.append((use.index(x), bare))
             if x == "ru" and any("а" <= c <= "я" for c in s[0]):
                 examples.append((use.index(x), [_romanised(w) for w in s]))
-    seen: Counter = Counter()
-    for _, s in examples:
-        seen.update({g for w in s for g in (" " + w, *grams(w))})
-    index = {g: i for i, g in enumerate(g for g, n in seen.items() if n >= 3)}
-    rows, cols, vals = [], [], []
-    for r, (_, s) in enumerate(examples):
-        at: dict[int, float] = defaultdict(float)
-        for w in s:
-            if (i := index.get(" " + w)) is not None:
-                at[i] += 1.0
-            each = 1 / np.sqrt(len(w) * 3)
-            for g in grams(w):
-                if (i := index.get(g)) is not None:
-                    at[i] += each
-        rows += [r] * len(at)
-        cols += at.keys()
-        vals += [v / len(s) for v in at.values()]
-    r, c, v = np.array(rows), np.array(cols), np.array(vals)
+    vocabulary_ids: dict[str, int] = {}
+    rows = [[vocabulary_ids.setdefault(w, len(vocabulary_ids)) for w in s] for _, s in examples]
+    spelled = list(vocabulary_ids)
+    seen = np.bincount([w for r in rows for w in set(r)], minlength=len(spelled))
+    counts_of: Counter = Counter()
+    for w, k in zip(spelled, seen.tolist()):
+        for g in {" " + w, *grams(w)}:
+            counts_of[g] += k
+    index = {g: i for i, g in enumerate(g for g, k in counts_of.items() if k >= 3)}
+    ids, weights = [], []
+    for w in spelled:
+        of = [i for g in grams(w) if (i := index.get(g)) is not None]
+        each = [1 / np.sqrt(len(w) * 3)] * len(of)
+        if (i := index.get(" " + w)) is not None:
+            of.append(i)
+            each.append(1.0)
+        ids.append(np.array(of, np.int64))
+        weights.append(np.array(each))
+    c = np.concatenate([ids[w] for r in rows for w in r])
+    v = np.concatenate([weights[w] / len(r) for r in rows for w in r])
+    lens = np.array([sum(len(ids[w]) for w in r) for r in rows])
+    r = np.repeat(np.arange(len(rows)), lens)
     lang = np.array([k for k, _ in examples])
     model = Model(index, np.zeros((len(index), 0), np.float32), np.zeros(0, np.float32), use)
     machines = []
@@ -350,10 +354,11 @@ def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str
 
     `found` is the result of `segments`.  Only languages with a sentence of
     five words count in a mixed comment; a comment of one language needs five
-    words.  Below the confidence `doubt` a label that names a language stands.
+    words.  Below the confidence `doubt` a label that names a language stands,
+    and a stretch does not make a comment mixed.
     Repeated keys are taken as one comment.
     """
-    per = found.where("language is not null").groupBy(key).agg(F.sum("words").alias("words"), F.collect_set(F.when(F.col("longest") >= SHORTEST, F.col("language"))).alias("long"), F.max_by("language", "words").alias("main"), F.max_by("confidence", "words").alias("sure"))
+    per = found.where("language is not null").groupBy(key).agg(F.sum("words").alias("words"), F.collect_set(F.when((F.col("longest") >= SHORTEST) & (F.col("confidence") >= doubt), F.col("language"))).alias("long"), F.max_by("language", "words").alias("main"), F.max_by("confidence", "words").alias("sure"))
     labels = df.select(key, base_code(F.col(lang)).alias("_label")).groupBy(key).agg(F.first("_label").alias("_label"))
     mixed = per.where("size(long) >= 2").select(key, F.explode("long").alias("true_lang"))
     single = per.where("size(long) < 2 and words >= 5").join(labels, key).where(~F.col("_label").eqNullSafe(F.col("main")) & ((F.col("sure") >= doubt) | ~F.coalesce(F.col("_label").isin(*LANGUAGES), F.lit(False)))).select(key, F.col("main").alias("true_lang"))
