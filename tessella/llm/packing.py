@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 SHARES = (1.0, 0.75, 0.5, 0.25)
 #: Cost of a container besides its size, as a share of the capacity.
 OVERHEAD = 0.02
+MOST_SPECS = 10_000
 
 
 def permitted_sizes(capacity: int, shares: tuple[float, ...] = SHARES) -> list[int]:
@@ -82,7 +83,10 @@ def packed(spark: SparkSession, items: DataFrame, specs: DataFrame, key: str = "
     blocks = max(1, math.ceil(items.count() / block_rows))
     i = i.withColumn("_block", F.pmod(F.xxhash64("_at"), F.lit(blocks)))
     s = specs.where("capacity > 0").select("spec_id", F.col("tokenizer").alias("_t"), F.col("capacity").cast("int"))
-    both = i.join(s, "_t")
+    # few specs, counted before they are sent everywhere; their join key has so few values that a shuffle would pile up
+    if s.count() > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs; pack them in several calls")
+    both = i.join(F.broadcast(s), "_t")
     kind = items.schema[key].dataType.simpleString()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -215,12 +215,12 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the automaton finds something open.  Repeated rows come out each time;
     a null source counts as the source ''.
     """
-    ends = keep(_endings(df, key, text, source))
+    ends = keep(_endings(df, key, text, source).withColumn("_row", F.monotonically_increasing_id()))
     facts = keep(word_facts(df, text))
     # how often words that begin with these letters occur
     begun = facts.where("n >= 3 and word not like '% %' and length(word) > 1").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.concat(F.lit("^"), F.substring(F.col("word"), F.lit(1), i)))).alias("word"))
     facts = facts.unionByName(begun.groupBy("word").agg(F.sum("n").alias("n")).withColumns({"ends": F.lit(0).cast("long"), "names": F.lit(0).cast("long")}))
-    doubtful = ends.where("not blank and not ended and open = '' and w1 <> ''").withColumn("_row", F.monotonically_increasing_id())
+    doubtful = ends.where("not blank and not ended and open = '' and w1 <> ''")
     low = [F.lower(F.col(c)) for c in ("w3", "w2", "w1")]
     is_name = lambda c, b: (F.col(c).rlike(r"^\p{Lu}") & ~F.col(c).rlike(r"^\p{Lu}+$") & (F.col(b) != ""))
     key2 = F.when(is_name("w2", "w3"), F.lit("<n>")).otherwise(low[1])
