@@ -24,16 +24,49 @@ URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 # Contractions, expanded in this order.
-CONTRACTIONS = dict(
-    x.split("=") for x in (
-        "ain't=is not;aren't=are not;can't=cannot;couldn't=could not;didn't=did not;doesn't=does not;don't=do not;hadn't=had not;"
-        "hasn't=has not;haven't=have not;he'd=he would;he'll=he will;he's=he is;i'd=i would;i'll=i will;i'm=i am;i've=i have;"
-        "isn't=is not;it's=it is;let's=let us;shouldn't=should not;that's=that is;there's=there is;they'd=they would;"
-        "they'll=they will;they're=they are;they've=they have;wasn't=was not;we'd=we would;we're=we are;we've=we have;"
-        "weren't=were not;what's=what is;where's=where is;who's=who is;won't=will not;wouldn't=would not;you'd=you would;"
-        "you'll=you will;you're=you are;you've=you have"
-    ).split(";")
-)
+CONTRACTIONS = {
+    "ain't": "is not",
+    "aren't": "are not",
+    "can't": "cannot",
+    "couldn't": "could not",
+    "didn't": "did not",
+    "doesn't": "does not",
+    "don't": "do not",
+    "hadn't": "had not",
+    "hasn't": "has not",
+    "haven't": "have not",
+    "he'd": "he would",
+    "he'll": "he will",
+    "he's": "he is",
+    "i'd": "i would",
+    "i'll": "i will",
+    "i'm": "i am",
+    "i've": "i have",
+    "isn't": "is not",
+    "it's": "it is",
+    "let's": "let us",
+    "shouldn't": "should not",
+    "that's": "that is",
+    "there's": "there is",
+    "they'd": "they would",
+    "they'll": "they will",
+    "they're": "they are",
+    "they've": "they have",
+    "wasn't": "was not",
+    "we'd": "we would",
+    "we're": "we are",
+    "we've": "we have",
+    "weren't": "were not",
+    "what's": "what is",
+    "where's": "where is",
+    "who's": "who is",
+    "won't": "will not",
+    "wouldn't": "would not",
+    "you'd": "you would",
+    "you'll": "you will",
+    "you're": "you are",
+    "you've": "you have",
+}
 _STOP_LISTS = {"en": "english", "es": "spanish", "fr": "french", "it": "italian", "pt": "portuguese", "ru": "russian", "tr": "turkish"}
 
 

@@ -24,7 +24,7 @@ from ..operators import windows as V
 from ..schema import CLI_THRESHOLDS, LABELS, LANGS, LOGIT_OFFSETS, SERVING_THRESHOLDS, is_pos
 from ..session import ship
 from ..sources import files as FS
-from ..sources.tables import keep, shared_folder, table
+from ..sources.tables import keep, shared_folder, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,14 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "comments_raw")
 
 
+def _wide_split(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_split(spark, d))
+
+
+def _wide_raw(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_raw(spark, d))
+
+
 def _pred(spark: SparkSession, d: str) -> DataFrame:
     return M.usable(table(spark, d, "predictions"))
 
@@ -167,7 +175,7 @@ _C = f"trim(regexp_replace({_C}, '[{_SQL_SPACE}]+([.,!?])', '\\1', 'g'))"
 
 @query(f"SELECT raw_id, {_C} AS cleaned FROM comments_raw")
 def clean_text_v1(spark, d):
-    return _raw(spark, d).select("raw_id", X.clean_text(F.col("comment_text")).alias("cleaned"))
+    return _wide_raw(spark, d).select("raw_id", X.clean_text(F.col("comment_text")).alias("cleaned"))
 
 
 _NS = f"[^{_SQL_SPACE}]+"
@@ -181,13 +189,13 @@ _TOKENS = f"SELECT raw_id, lang, list_filter(string_split_regex({_LETTERS}, '[{_
 
 @query(f"SELECT raw_id, trim(array_to_string(ws, ' ')) AS processed FROM ({_TOKENS})")
 def preprocess_basic(spark, d):
-    return _raw(spark, d).select("raw_id", X.preprocess(F.col("comment_text"), F.col("lang"), contractions=False).alias("processed"))
+    return _wide_raw(spark, d).select("raw_id", X.preprocess(F.col("comment_text"), F.col("lang"), contractions=False).alias("processed"))
 
 
 @query()
 def clean_text_v2(spark, d):
     c = X.preprocess(F.col("comment_text"), F.col("lang"), stop=X.stop_words(spark), stem=True)
-    return _raw(spark, d).select("raw_id", c.alias("processed"))
+    return _wide_raw(spark, d).select("raw_id", c.alias("processed"))
 
 
 @query(f"""
@@ -195,7 +203,7 @@ WITH t AS ({_TOKENS}), before AS (SELECT count(DISTINCT w) AS n FROM (SELECT unn
 after AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(ws) AS w FROM t))
 SELECT b.n AS before, a.n AS after, round((b.n - a.n) * 100.0::DOUBLE / b.n, 4) AS reduction FROM before b, after a""")
 def vocab_stats(spark, d):
-    raw = _raw(spark, d)
+    raw = _wide_raw(spark, d)
     words = lambda c: raw.select(F.explode(X.tokens(c)).alias("w")).agg(F.count_distinct("w").alias("n"))
     b = words(F.coalesce("comment_text", F.lit("")))
     a = words(X.preprocess(F.col("comment_text"), F.col("lang"), contractions=False))
@@ -204,7 +212,7 @@ def vocab_stats(spark, d):
 
 @query()
 def html_text(spark, d):
-    return _raw(spark, d).select("raw_id", X.parsed_markup("comment_text").alias("plain"))
+    return _wide_raw(spark, d).select("raw_id", X.parsed_markup("comment_text").alias("plain"))
 
 
 @query()
@@ -229,7 +237,7 @@ _SCORE = {x: (f"length(regexp_replace(comment_text, '[^{N.CHARACTERS[x]}]', '',
 @query("SELECT row_id, " + ", ".join(f"{_SCORE[x]}::INTEGER AS {x}" for x in LANGS) + " FROM split WHERE comment_text IS NOT NULL")
 def unicode_scores(spark, d):
     scores = N.character_scores(F.col("comment_text"))
-    return _split(spark, d).where("comment_text is not null").select("row_id", *[scores[x].cast("int").alias(x) for x in LANGS])
+    return _wide_split(spark, d).where("comment_text is not null").select("row_id", *[scores[x].cast("int").alias(x) for x in LANGS])
 
 
 _CODE = "CASE " + " ".join(f"WHEN contains(w, '{x}') THEN '{x}'" for x in LANGS) + " END"
@@ -242,12 +250,12 @@ WITH c AS (SELECT row_id, comment_text, list_transform(string_split_regex(lower(
 s AS (SELECT row_id, comment_text, {_RULE_SCORES} FROM c), b AS (SELECT *, greatest({', '.join(LANGS)}) AS m FROM s)
 SELECT row_id, CASE WHEN NOT regexp_matches(comment_text, '[{_SQL_WORD}]') OR regexp_full_match(comment_text, '[\\x00-\\x7F]*') THEN 'en' WHEN m > 0 THEN {_RULE_BEST} ELSE 'en' END AS detected FROM b""")
 def ascii_lang_rule(spark, d):
-    return _split(spark, d).where("comment_text is not null").select("row_id", N.detect_by_rules(F.col("comment_text")).alias("detected"))
+    return _wide_split(spark, d).where("comment_text is not null").select("row_id", N.detect_by_rules(F.col("comment_text")).alias("detected"))
 
 
 @query(f"SELECT row_id, {_HASH} AS h FROM split")
 def text_hash(spark, d):
-    return _split(spark, d).select("row_id", K.text_hash(F.col("comment_text")).alias("h"))
+    return _wide_split(spark, d).select("row_id", K.text_hash(F.col("comment_text")).alias("h"))
 
 
 _ID = f"coalesce(lang, '') || '_' || {_BITS} || '_' || substring(md5(coalesce(comment_text, '')), 1, 6)"
@@ -255,14 +263,14 @@ _ID = f"coalesce(lang, '') || '_' || {_BITS} || '_' || substring(md5(coalesce(co
 
 @query(f"SELECT row_id, {_ID} AS new_id FROM split")
 def comment_id(spark, d):
-    return _split(spark, d).select("row_id", K.comment_id(F.col("lang"), F.col("comment_text")).alias("new_id"))
+    return _wide_split(spark, d).select("row_id", K.comment_id(F.col("lang"), F.col("comment_text")).alias("new_id"))
 
 
 @query(f"""
 WITH i AS (SELECT row_id, {_ID} AS new_id FROM split), r AS (SELECT count(DISTINCT new_id) < count(new_id) AS repeats FROM i)
 SELECT row_id, CASE WHEN repeats THEN (row_number() OVER (PARTITION BY new_id ORDER BY row_id) - 1)::VARCHAR || '_' || new_id ELSE new_id END AS new_id FROM i, r""")
 def comment_id_unique(spark, d):
-    ids = _split(spark, d).select("row_id", K.comment_id(F.col("lang"), F.col("comment_text")).alias("new_id"))
+    ids = _wide_split(spark, d).select("row_id", K.comment_id(F.col("lang"), F.col("comment_text")).alias("new_id"))
     return K.unique_ids(ids, "new_id", "row_id")
 
 
@@ -272,7 +280,7 @@ _KEYED = f"(SELECT *, {_HASH} AS h FROM split)"
 
 
 def _hashed(spark, d):
-    return _split(spark, d).withColumn("h", K.text_hash(F.col("comment_text")))
+    return _wide_split(spark, d).withColumn("h", K.text_hash(F.col("comment_text")))
 
 
 @query("SELECT min(row_id) AS row_id FROM split WHERE comment_text IS NOT NULL GROUP BY comment_text")
@@ -325,12 +333,12 @@ _SEEN = f"(SELECT h, bool_or(split = 'train') AS tr, bool_or(split = 'val') AS v
 
 @query(f"SELECT k.row_id, k.split FROM {_KEYED} k JOIN {_SEEN} s ON k.h = s.h WHERE NOT ((k.split = 'val' AND s.tr) OR (k.split = 'test' AND (s.tr OR s.va)))")
 def leakage_remove(spark, d):
-    return D.without_leakage(_split(spark, d).select("row_id", "split", "comment_text")).select("row_id", "split")
+    return D.without_leakage(_wide_split(spark, d).select("row_id", "split", "comment_text")).select("row_id", "split")
 
 
 @query(f"WITH u AS (SELECT DISTINCT split, h FROM {_KEYED}) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM u a JOIN u b ON a.h = b.h AND a.split < b.split GROUP BY a.split, b.split")
 def leakage_pairs(spark, d):
-    return D.split_overlaps(D.hashes(_split(spark, d)))
+    return D.split_overlaps(D.hashes(_wide_split(spark, d)))
 
 
 _LIGHT = "trim(lower(coalesce(comment_text, '')))"
@@ -341,7 +349,7 @@ WITH k AS (SELECT DISTINCT {_LIGHT} AS k, split FROM split), n AS (SELECT split,
 SELECT a || '_' || b AS pair, (SELECT count(*) FROM k x JOIN k y ON x.k = y.k WHERE x.split = a AND y.split = b) AS shared,
 round((SELECT count(*) FROM k x JOIN k y ON x.k = y.k WHERE x.split = a AND y.split = b)::DOUBLE / n.n, 6) AS ratio FROM pairs JOIN n ON n.split = a""")
 def contamination(spark, d):
-    return D.contamination(_split(spark, d).select("comment_text", "split"))
+    return D.contamination(_wide_split(spark, d).select("comment_text", "split"))
 
 
 @query("""
@@ -368,7 +376,7 @@ def dist_deltas(spark, d):
 def near_dup_leakage(spark, d):
     from ..operators.neardup import leaking
 
-    return leaking(_split(spark, d))
+    return leaking(_wide_split(spark, d))
 
 
 _OK = " AND ".join(f"{x} IS NOT NULL" for x in LABELS)
@@ -967,12 +975,12 @@ def generated_per_day(spark, d):
 
 @query()
 def batch_scores(spark, d):
-    return N.results(N.scored(_split(spark, d), N.lexicon_scorer), SERVING_THRESHOLDS).select("row_id", *LABELS, "toxic_categories", "is_toxic")
+    return N.results(N.scored(_wide_split(spark, d), N.lexicon_scorer), SERVING_THRESHOLDS).select("row_id", *LABELS, "toxic_categories", "is_toxic")
 
 
 @query()
 def text_classifier(spark, d):
-    rows = keep(_split(spark, d).where("lang = 'en'").select("row_id", "split", "comment_text", "toxic"))
+    rows = keep(_wide_split(spark, d).where("lang = 'en'").select("row_id", "split", "comment_text", "toxic"))
     model = A.fit_classifier(rows.where("split = 'train'"), "comment_text", F.when(F.col("toxic").isNotNull(), is_pos("toxic").cast("int")), iterations=30)
     return A.probability(model, rows.where("split <> 'train'"), "comment_text").select("row_id", F.round("probability_1", 4).alias("p"))
 
@@ -986,7 +994,7 @@ t AS (SELECT row_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos
 SELECT row_id, pos::INTEGER AS pos, token, """ + ", ".join(f"CASE WHEN regexp_matches(lower(token), '{_HIT[x]}') THEN 0.5 ELSE 0 END::DOUBLE AS {x}" for x in LABELS) + " FROM t")
 def token_importance(spark, d):
     p = {x: F.lit(0.5) for x in LABELS}
-    return E.token_importance(_split(spark, d).where("comment_text is not null"), "comment_text", p)
+    return E.token_importance(_wide_split(spark, d).where("comment_text is not null"), "comment_text", p)
 
 
 @query()

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give work to less than half of them: small tables of one file.  Larger tables stay as they are read."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if 2 * df.rdd.getNumPartitions() <= want else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session, a local one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
