@@ -8,23 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..sources.tables import table
+from ..sources.tables import keep, spread, table
 from . import language, lookalikes, overlaps, packing, proportions, similar, tokens, truncation
 
 _CATEGORY = ["lang", "threat", "identity_hate"]
 
 
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "split"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _train(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "split").where("split = 'train'")
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    split = table(spark, d, "split")
+    split = _split(spark, d)
     return language.segments(spark, split, language.fit(language.labelled_sample(split)))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.mislabelled(table(spark, d, "split"), _segments(spark, d))
+    return language.mislabelled(_split(spark, d), _segments(spark, d))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -32,11 +40,11 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar.expanded(*similar.similar(spark, table(spark, d, "split")))
+    return similar.expanded(*similar.similar(spark, _split(spark, d)))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return similar.groups(*similar.similar(spark, table(spark, d, "split")))
+    return similar.groups(*similar.similar(spark, _split(spark, d)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,36 +61,34 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.look_pairs(table(spark, d, "split"))
+    return lookalikes.look_pairs(_split(spark, d))
 
 
 def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.normalised(table(spark, d, "split").select("row_id", "comment_text")).select("row_id", "look")
+    return lookalikes.normalised(_split(spark, d).select("row_id", "comment_text")).select("row_id", "look")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.overlaps(spark, table(spark, d, "split")).select("row_id")
+    return overlaps.overlaps(spark, _split(spark, d)).select("row_id")
 
 
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.overlaps(spark, table(spark, d, "split"))
+    return overlaps.overlaps(spark, _split(spark, d))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    split = table(spark, d, "split")
+    split = _split(spark, d)
     return overlaps.report(split, overlaps.overlaps(spark, split))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encoded(spark, table(spark, d, "documents"))
+    return tokens.encoded(spark, _documents(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     specs = table(spark, d, "pack_spec")
     names = [r[0] for r in specs.select("tokenizer").distinct().collect() if r[0]]  # names of installed vocabularies
-    from ..sources.tables import keep
-
-    sizes = keep(tokens.lengths(spark, table(spark, d, "documents"), names))
+    sizes = keep(tokens.lengths(spark, _documents(spark, d), names))
     return packing.packed(spark, sizes, specs)
 
 
@@ -95,11 +101,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id")
+    return truncation.judged(_documents(spark, d)).where("cut").select("doc_id")
 
 
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.by_source(truncation.judged(table(spark, d, "documents")))
+    return truncation.by_source(truncation.judged(_documents(spark, d)))
 
 
 _QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
