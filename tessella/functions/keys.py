@@ -26,9 +26,10 @@ def comment_id(lang: Column, text: Column) -> Column:
 
 def unique_ids(df: DataFrame, id: str, order: str) -> DataFrame:
     """If any id repeats, every id gets the number of its earlier occurrences as prefix; else none does."""
-    one = df.agg((F.count_distinct(id) < F.count(id)).alias("_repeats"))
+    if not df.agg(F.count_distinct(id) < F.count(id)).first()[0]:
+        return df
     n = F.row_number().over(Window.partitionBy(id).orderBy(order)) - 1
-    return df.withColumn("_n", n).join(F.broadcast(one)).withColumn(id, F.when(F.col("_repeats"), F.concat_ws("_", F.col("_n").cast("string"), F.col(id))).otherwise(F.col(id))).drop("_n", "_repeats")
+    return df.withColumn("_n", n).withColumn(id, F.concat_ws("_", F.col("_n").cast("string"), F.col(id))).drop("_n")
 
 
 def stratum() -> Column:

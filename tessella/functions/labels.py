@@ -32,8 +32,9 @@ def lang_id_of_name(name: str | Column) -> Column:
 def clamped_lang_ids(df: DataFrame, col: str = "lang_id", most_invalid: float = 0.1) -> DataFrame:
     """Ids outside 0..6 moved to the nearest; all 0 if more than `most_invalid` of the rows are outside."""
     bad = F.coalesce(~F.col(col).between(0, 6), F.lit(True))
-    share = df.agg(F.avg(bad.cast("double")).alias("_share"))
-    return df.crossJoin(share).withColumn(col, F.when(F.col("_share") > most_invalid, 0).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(6), F.col(col))), F.lit(0)))).drop("_share")
+    if (df.agg(F.avg(bad.cast("double"))).first()[0] or 0) > most_invalid:
+        return df.withColumn(col, F.lit(0))
+    return df.withColumn(col, F.coalesce(F.greatest(F.lit(0), F.least(F.lit(6), F.col(col))), F.lit(0)))
 
 
 def positives(labels: list[str] = LABELS) -> Column:

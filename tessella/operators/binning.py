@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ["none", "low", "medium", "high", "severe"]
@@ -54,6 +54,6 @@ def distribution(df: DataFrame, col: str, edges: list[float], names: list[str] =
     """Rows and percentage of each level by name."""
     lv = level(F.col(col), edges)
     n = df.where(F.col(col).isNotNull()).groupBy(lv.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("_t"))
+    n = n.withColumn("_t", F.sum("n").over(Window.partitionBy()))  # over levels, not rows
     named = F.try_element_at(F.array(*[F.lit(x) for x in names]), F.col("level") + 1)
-    return n.join(F.broadcast(total)).select("level", F.coalesce(named, F.lit("other")).alias("name"), "n", F.round(F.col("n") * 100.0 / F.col("_t"), 4).alias("pct"))
+    return n.select("level", F.coalesce(named, F.lit("other")).alias("name"), "n", F.round(F.col("n") * 100.0 / F.col("_t"), 4).alias("pct"))

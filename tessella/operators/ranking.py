@@ -36,6 +36,6 @@ def by_draw(df: DataFrame, by: list[str], key: str, seed: str = "42", name: str
 
 def by_number(df: DataFrame, by: list[str], key: str, name: str = "_rank") -> DataFrame:
     """Rank by an integer key: buckets are equal ranges between its least and greatest value."""
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / _BUCKETS))
-    return ranked(df.join(F.broadcast(span)).withColumn("_b", F.floor((F.col(key) - F.col("_lo")) / width)).drop("_lo", "_hi"), by, [key], F.col("_b"), name).drop("_b")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // _BUCKETS))
+    return ranked(df, by, [key], F.floor((F.col(key) - F.lit(low or 0)) / width), name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +69,10 @@ def reduced_to_ratio(df: DataFrame, label: str, ratio: DataFrame, key: str = "ro
 
     `ratio` has one row with the column `target`.
     """
-    s = df.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_p"))
-    surplus = s.join(F.broadcast(ratio)).select(F.when(F.col("_p") / F.greatest("_n", F.lit(1)) > F.col("target"), F.col("_p") - F.floor(F.col("_n") * F.col("target"))).otherwise(0).alias("_out"))
-    goes = by_draw(df.where(F.col(label)), [], key, seed, "_r").join(F.broadcast(surplus)).where("_r <= _out").select(key)
+    n, p = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()
+    target = ratio.first()["target"]
+    out = p - math.floor(n * target) if p / max(n, 1) > target else 0
+    goes = by_draw(df.where(F.col(label)), [], key, seed, "_r").where(F.col("_r") <= out).select(key)
     return df.join(goes, key, "left_anti")
 
 
@@ -96,9 +99,10 @@ def with_replacement(df: DataFrame, need: DataFrame, by: list[str], key: str = "
 def quota(df: DataFrame, reference: str, labels: list[str], lang: str = "lang") -> DataFrame:
     """Rows language `reference` lacks to the largest language, and per label the positives among them at its rate there, rounded down."""
     per = df.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce((F.col(x) > 0).cast("long"), F.lit(0))).alias(x) for x in labels])
-    need = per.agg((F.max("n") - F.coalesce(F.max(F.when(F.col(lang) == reference, F.col("n"))), F.lit(0))).alias("need"))
-    long = per.where(F.col(lang) == reference).unpivot(["n"], labels, "label", "pos")
-    return long.crossJoin(need).select("label", "need", F.floor(F.try_divide("pos", "n") * F.col("need")).cast("long").alias("target"))
+    every = Window.partitionBy()  # over as many rows as there are languages
+    per = per.withColumn("need", F.max("n").over(every) - F.coalesce(F.max(F.when(F.col(lang) == reference, F.col("n"))).over(every), F.lit(0)))
+    long = per.where(F.col(lang) == reference).unpivot(["n", "need"], labels, "label", "pos")
+    return long.select("label", "need", F.floor(F.try_divide("pos", "n") * F.col("need")).cast("long").alias("target"))
 
 
 def trimmed_to_total(df: DataFrame, amount: str, most: int, by: list[str], order: list[str]) -> DataFrame:

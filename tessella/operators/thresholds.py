@@ -42,16 +42,16 @@ def search(df: DataFrame, *by: str, steps: int = STEPS) -> DataFrame:
     """
     keys = [*by, "label"]
     ts = grid(steps)
-    spark = df.sparkSession
     # cell c: the score is greater than thresholds 0 .. c-1
     cell = sum((F.col("p") > t).cast("int") for t in ts[1:]) + (F.col("p") > ts[0]).cast("int")
     f = contiguous_folds(df, keys)
     counts = f.groupBy(*keys, "fold", cell.alias("cell")).agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    table = spark.createDataFrame(list(enumerate(ts)), "i int, threshold double")
+    value = lambda i: F.element_at(F.array(*[F.lit(t) for t in ts]), i + 1)
     totals = counts.groupBy(*keys, "fold").agg(F.sum("a").alias("pos"))
     # at most steps + 1 cells a fold: small whatever the rows
-    per = counts.join(F.broadcast(table), F.col("cell") > F.col("i")).groupBy(*keys, "fold", "i").agg(F.sum("a").alias("tp"), F.sum("b").alias("fp"))
-    all_ = totals.join(F.broadcast(table)).join(per, [*keys, "fold", "i"], "left").na.fill(0, ["tp", "fp"])
+    per = counts.where("cell > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cell") - 1))).groupBy(*keys, "fold", "i").agg(F.sum("a").alias("tp"), F.sum("b").alias("fp"))
+    grid_ = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("threshold", value(F.col("i")))
+    all_ = grid_.join(per, [*keys, "fold", "i"], "left").na.fill(0, ["tp", "fp"])
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), F.lit(1.0))
     means = all_.groupBy(*keys, "i", "threshold").agg(F.round(F.avg(f1), 9).alias("score"), F.sum("pos").alias("positives"))
     best = means.groupBy(*keys).agg(F.max_by(F.struct("threshold", "score"), F.struct(F.col("score"), -F.col("i"))).alias("m"), F.max("positives").alias("positives"))

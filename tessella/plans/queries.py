@@ -205,9 +205,9 @@ SELECT b.n AS before, a.n AS after, round((b.n - a.n) * 100.0::DOUBLE / b.n, 4)
 def vocab_stats(spark, d):
     raw = _wide_raw(spark, d)
     words = lambda c: raw.select(F.explode(X.tokens(c)).alias("w")).agg(F.count_distinct("w").alias("n"))
-    b = words(F.coalesce("comment_text", F.lit("")))
+    before = words(F.coalesce("comment_text", F.lit(""))).first()[0]
     a = words(X.preprocess(F.col("comment_text"), F.col("lang"), contractions=False))
-    return b.withColumnRenamed("n", "before").crossJoin(a.withColumnRenamed("n", "after")).withColumn("reduction", F.round((F.col("before") - F.col("after")) * 100.0 / F.col("before"), 4))  # one row each
+    return a.select(F.lit(before).cast("long").alias("before"), F.col("n").alias("after")).withColumn("reduction", F.round((F.col("before") - F.col("after")) * 100.0 / F.col("before"), 4))
 
 
 @query()
@@ -808,7 +808,7 @@ LEFT JOIN (SELECT {by}, 1 - y AS y, count(*) AS n, min(row_id) AS first FROM {_P
 
 def _search(by: str, steps: int) -> str:
     ts = f"(SELECT i, 0.3::DOUBLE + 0.4::DOUBLE * i / {steps - 1} AS threshold FROM generate_series(0, {steps - 1}) t(i))"
-    return f"""(SELECT {by}, CASE WHEN max(positives) = 0 THEN 0.5 ELSE round(arg_min(threshold, (-score, i)), 6) END AS threshold, CASE WHEN max(positives) = 0 THEN 1.0 ELSE round(max(score), 6) END AS score, max(positives) AS positives FROM (
+    return f"""(SELECT {by}, CASE WHEN max(positives) = 0 THEN 0.5 ELSE round(arg_min(threshold, (-score, i)), 6) END AS threshold, CASE WHEN max(positives) = 0 THEN 1.0 ELSE round(max(score), 6) END AS score, max(positives)::BIGINT AS positives FROM (
 SELECT {by}, i, threshold, round(avg(f1), 9) AS score, sum(pos) AS positives FROM (
 SELECT {by}, fold, i, threshold, coalesce(2.0::DOUBLE * count(*) FILTER (WHERE y = 1 AND p > threshold) / nullif(count(*) FILTER (WHERE p > threshold) + count(*) FILTER (WHERE y = 1), 0), 1.0) AS f1, count(*) FILTER (WHERE y = 1) AS pos
 FROM {_folded(by)}, {ts} GROUP BY {by}, fold, i, threshold) GROUP BY {by}, i, threshold) GROUP BY {by})"""

@@ -36,8 +36,8 @@ def hourly(spark: SparkSession, path: str) -> DataFrame:
     stream = source.parquet(folder)
     # a timestamp without zone is read as the session's
     closed = run_to_table(hourly_figures(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
-    last = closed.agg(F.max("hour").alias("_last"))
+    last = closed.agg(F.max("hour").alias("_last")).select(F.date_format("_last", "yyyy-MM-dd HH:mm:ss")).first()[0]
     batch = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("hour", F.date_trunc("hour", "ts"))
-    open_ = batch.join(F.broadcast(last)).where(F.col("_last").isNull() | (F.col("hour") > F.col("_last")))
+    open_ = batch if last is None else batch.where(F.col("hour") > F.to_timestamp(F.lit(last)))
     rest = open_.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     return closed.unionByName(rest)
