@@ -42,11 +42,14 @@ def search(df: DataFrame, *by: str, steps: int = STEPS) -> DataFrame:
     """
     keys = [*by, "label"]
     ts = grid(steps)
-    # cell c: the score is greater than thresholds 0 .. c-1
-    cell = sum((F.col("p") > t).cast("int") for t in ts[1:]) + (F.col("p") > ts[0]).cast("int")
+    value = lambda i: F.element_at(F.array(*[F.lit(t) for t in ts]), i + 1)
+    # cell c: the score is greater than thresholds 0 .. c-1; guessed by division, made exact by the two thresholds around
+    guess = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor((F.col("p") - LOW) / ((HIGH - LOW) / (steps - 1))))).cast("int")
+    df = df.withColumn("_g", guess)
+    below, above = (F.col("p") > value(F.col("_g"))).cast("int"), ((F.col("_g") + 1 < steps) & (F.col("p") > value(F.least(F.col("_g") + 1, F.lit(steps - 1))))).cast("int")
+    cell = F.col("_g") + below + above
     f = contiguous_folds(df, keys)
     counts = f.groupBy(*keys, "fold", cell.alias("cell")).agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    value = lambda i: F.element_at(F.array(*[F.lit(t) for t in ts]), i + 1)
     totals = counts.groupBy(*keys, "fold").agg(F.sum("a").alias("pos"))
     # at most steps + 1 cells a fold: small whatever the rows
     per = counts.where("cell > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cell") - 1))).groupBy(*keys, "fold", "i").agg(F.sum("a").alias("tp"), F.sum("b").alias("fp"))
