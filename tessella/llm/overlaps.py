@@ -1,14 +1,15 @@
 """Problem 5: the same or nearly the same records across splits.
 
-Winnowing: of each record's rolling hashes over runs of words, the minima of
-sliding windows are selected as fingerprints; fingerprints of evaluation and
-training records are joined; collinear seeds are chained and extended by
-alignment; coverage is reported per record and source.
-
-Two runs are fingerprinted, so that no fingerprint is a common phrase: short
-runs that hold a seldom word, and longer runs of frequent words.  A fingerprint
-that many evaluation records hold all the same is joined together with its
-successor, a chain of two.
+Candidates are complete: evaluation and training records are joined on the keys
+of `similar.signatures`, of which every pair that reaches the threshold shares
+one, and read and compared exactly.
+
+Winnowing seeds the alignment of what is found: of each record's rolling hashes
+over runs of words, the minima of sliding windows are selected as fingerprints;
+equal fingerprints are seeds; collinear seeds are chained and extended; coverage
+is reported per record and source.  Two runs are fingerprinted: short runs that
+hold a seldom word, and longer runs of frequent words.  A pair without a common
+fingerprint is seeded by every short run.
 """
 
 from __future__ import annotations
@@ -22,37 +23,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
-from .similar import _ODD, _SIZE, LEAST_LONG, MOST_LONG, WordHashes, _mix, overlap, packed_size, parity, read_only
+from .similar import _ODD, _SIZE, WordHashes, _keyed, _long_lists, _mix, overlap, packed_size, parity, read_only
 from .textforms import words
 
 SHORT_RUN, SHORT_WINDOW = 3, 8
 LONG_RUN, LONG_WINDOW = 8, 12
 #: A fingerprint is common if more evaluation records hold it: so many, or this share of all fingerprints.
 COMMON, COMMON_SHARE = 200, 50_000
+#: A fingerprint that two texts repeat so often (product of both numbers) seeds them in order only.
+_REPEATS = 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def word_runs(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: list[str]) -> DataFrame:
-    """`id`, `side` (0 train, 1 evaluation), `n` distinct words, `lo`, `hi` (hash of the sequence), `tokens` in order; rows with a word only."""
+    """`id`, `side` (0 train, 1 evaluation), `n` distinct words, `lo`, `hi` (hash of the sequence), `tokens` (32-bit hashes of the distinct words); rows with a word only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            ids, side, n, lens, flat = [], [], [], [], []
+            ids, side, n, lens, flat, distinct = [], [], [], [], [], []
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if t and (w := words(t)):
                     ids.append(i)
                     side.append(int(s != train))
                     h = hashes(w)
-                    n.append(len(set(h)))
+                    own = set(h)
+                    n.append(len(own))
                     lens.append(len(w))
                     flat += h
+                    distinct += own
             h = np.array(flat, np.uint64)
             starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
             place = _mix(np.arange(len(h), dtype=np.uint64) - np.repeat(starts[:-1], lens).astype(np.uint64) + _ODD)
             lo = np.add.reduceat(_mix(h ^ place), starts[:-1]) if ids else h
             hi = np.add.reduceat(_mix(h + place), starts[:-1]) if ids else h
-            tokens = pa.ListArray.from_arrays(pa.array(starts), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((np.array(distinct, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(side, pa.int32()), pa.array(n, pa.int32()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), tokens], ["id", "side", "n", "lo", "hi", "tokens"])
 
     rows = df.where(F.col(split).isin(train, *evaluation)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.col(split).alias("s"))
@@ -192,22 +197,67 @@ def coverage(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> float:
     return sum(covered) / max(1, len(a))
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def winnowed(texts: list[list[str]], hashes: WordHashes, long: np.ndarray) -> list[dict[int, list[int]]]:
+    """Of each list of words its fingerprints and where they start."""
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
+    flat = np.array([h for w in texts for h in hashes(w)], np.uint64)
+    tokens = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    for run, window, seldom in ((SHORT_RUN, SHORT_WINDOW, True), (LONG_RUN, LONG_WINDOW, False)):
+        pos, keys = fingerprints(tokens, starts, long, run, window, seldom)
+        own = np.searchsorted(starts, pos, "right") - 1
+        for o, p, k in zip(own.tolist(), (pos - starts[own]).tolist(), keys.tolist()):
+            out[o].setdefault(k, []).append(p)
+    return out
+
+
+def every_run(w: list[str]) -> dict[int, list[int]]:
+    """As `winnowed` of one text, with nothing left out: all its short runs."""
+    out: dict[int, list[int]] = {}
+    for i in range(len(w) - SHORT_RUN + 1):
+        out.setdefault(hash(tuple(w[i : i + SHORT_RUN])), []).append(i)
+    return out
+
+
+def seeds_of(a: dict[int, list[int]], b: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Where both hold the same fingerprint; of one that is repeated many times in both, occurrences meet in order."""
+    out: list[tuple[int, int]] = []
+    for k in a.keys() & b.keys():
+        x, y = a[k], b[k]
+        out += zip(x, y) if len(x) * len(y) > _REPEATS else [(i, j) for i in x for j in y]
+    return out
+
+
+def _aligned(spark: SparkSession, pairs: DataFrame, texts: DataFrame, threshold: float, long: np.ndarray) -> DataFrame:
+    shared = spark.sparkContext.broadcast(long)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, sims, covers = [], [], []
-            for k, (seeds, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
-                wx, wy = words(x), words(y)
-                sim = overlap(set(wx), set(wy))
-                if sim >= threshold - 1e-12:
-                    at.append(k)
-                    sims.append(sim)
-                    covers.append(coverage(wx, wy, [(s["x"], s["y"]) for s in seeds]))
-            ix = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(sims, pa.float64()), pa.array(covers, pa.float64())], ["e", "t", "similarity", "coverage"])
+        hashes = WordHashes()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                known: dict[str, tuple[list[str], set[str]]] = {}
+                at, sims, both = [], [], []
+                for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                    for t in (x, y):
+                        if t not in known:
+                            known[t] = (w := words(t)), set(w)
+                    sim = overlap(known[x][1], known[y][1])
+                    if sim >= threshold - 1e-12:
+                        at.append(k)
+                        sims.append(sim)
+                        both.append((x, y))
+                need = list(dict.fromkeys(t for p in both for t in p))
+                prints = dict(zip(need, winnowed([known[t][0] for t in need], hashes, shared.value)))
+                covers = []
+                for x, y in both:
+                    wx, wy = known[x][0], known[y][0]
+                    covers.append(coverage(wx, wy, seeds_of(prints[x], prints[y]) or seeds_of(every_run(wx), every_run(wy))))
+                ix = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(ix), b.column(1).take(ix), pa.array(sims, pa.float64()), pa.array(covers, pa.float64())], ["e", "t", "similarity", "coverage"])
 
     j = pairs.join(texts.select(F.col("id").alias("e"), F.col("x").alias("ex")), "e").join(texts.select(F.col("id").alias("t"), F.col("x").alias("tx")), "t")
-    return j.select("e", "t", "seeds", "ex", "tx").mapInArrow(run, "e long, t long, similarity double, coverage double")
+    return j.select("e", "t", "ex", "tx").mapInArrow(run, "e long, t long, similarity double, coverage double")
 
 
 def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str = "comment_text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, least: int = 12) -> DataFrame:
@@ -215,7 +265,7 @@ def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str
 
     Exact: the same words in the same order, any number of them.  Near: the
     sets of words reach `threshold` and both hold at least `least` words.
-    Rows with the same sequence of words are fingerprinted once on each side,
+    Rows with the same sequence of words stand for one record on each side,
     so copies cost nothing.  Null, empty and wordless texts and rows of other
     or null splits are left out; an empty side gives an empty table.
     """
@@ -224,29 +274,20 @@ def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str
     here = firsts.where("side = 1").select("lo", "hi", F.col("rep").alias("e"))
     there = firsts.where("side = 0").select("lo", "hi", F.col("rep").alias("t"))
     exact = keep(here.join(there, ["lo", "hi"]).select("e", "t"))
-    counts = runs.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").count()
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    limit = max(LEAST_LONG, total // MOST_LONG)
-    long = np.sort(np.array([r[0] for r in counts.where(F.col("count") > limit).select("w").toLocalIterator()], np.int32))
-    prints = keep(_fingerprinted(spark, runs.where(f"n >= {least}"), long))
-    # a run with a seldom word is in no more records than the word; only runs of frequent words can be common
-    e = prints.where("side = 1 and chain is not null")
-    bound = max(COMMON, e.count() // COMMON_SHARE)
-    common = F.broadcast(e.groupBy("key").count().where(F.col("count") > bound).select("key", F.lit(True).alias("common")))  # at most COMMON_SHARE keys
-    marked = prints.join(common, "key", "left").withColumn("key", F.when(F.col("common") & F.col("chain").isNotNull(), F.col("chain")).otherwise(F.col("key"))).drop("common", "chain")
-    a, b = marked.where("side = 1").alias("a"), marked.where("side = 0").alias("b")
+    long = _long_lists(runs)
+    keyed = lambda side: _keyed(spark, runs.where(f"side = {side} and n >= {least}"), long, threshold)
+    a, b = keyed(1).alias("a"), keyed(0).alias("b")
     words_of = lambda x: F.col(f"{x}.more").bitwiseAND(F.lit(_SIZE))
     bits = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
     high = F.bit_count(F.shiftrightunsigned(F.col("a.more"), 20).bitwiseXOR(F.shiftrightunsigned(F.col("b.more"), 20)))
     na, nb = words_of("a"), words_of("b")
     size = (F.greatest(na, nb) == _SIZE) | ((F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (bits("sketch") + high <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9))
-    seeds = a.join(b, (F.col("a.key") == F.col("b.key")) & size).select(F.col("a.id").alias("le"), F.col("b.id").alias("lt"), F.struct(F.col("a.pos").alias("x"), F.col("b.pos").alias("y")).alias("s"))
-    grouped = seeds.groupBy("le", "lt").agg(F.collect_set("s").alias("seeds"))  # as many as one record has fingerprints
-    named = grouped.join(here.select(F.col("lo").alias("le"), "e"), "le").join(there.select(F.col("lo").alias("lt"), "t"), "lt")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & size).select(F.col("a.lo").alias("le"), F.col("b.lo").alias("lt")).distinct()
+    named = met.join(here.select(F.col("lo").alias("le"), "e"), "le").join(there.select(F.col("lo").alias("lt"), "t"), "lt")
     # what has an exact partner needs no near one
-    pairs = keep(named.select("e", "t", "seeds").join(exact.select("e"), "e", "left_anti"))
+    pairs = keep(named.select("e", "t").join(exact.select("e"), "e", "left_anti"))
     texts = read_only(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), pairs, ["e", "t"])
-    near = _aligned(pairs, texts, threshold)
+    near = _aligned(spark, pairs, texts, threshold, long)
     best = near.groupBy("e").agg(F.max_by(F.struct("t", "similarity", "coverage"), F.struct("similarity", "coverage", -F.col("t"))).alias("m")).select("e", "m.*")
     both = exact.select("e", "t", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")).unionByName(best.withColumn("exact", F.lit(False)).select("e", "t", "exact", "similarity", "coverage"))
     same = runs.where("side = 1").select("id", "lo", "hi").join(here, ["lo", "hi"]).select("id", "e").distinct()

@@ -95,6 +95,31 @@ def test_overlaps_against_brute_force(spark):
     assert sum(r.records for r in rep) == sum(s in ("val", "test") for s in split) and sum(r.exact + r.near for r in rep) == len(got)
 
 
+def test_overlaps_of_frequent_words_only(spark):
+    vocabulary = [f"w{i}" for i in range(33)]
+    a = vocabulary[:30]
+    b = list(a)
+    b[7], b[15], b[23] = vocabulary[30:]  # similarity 27/33, clean stretches of 7 words at most
+    rows = [(k * 60 + i, " ".join(vocabulary[k * 9 : k * 9 + 9]), "train") for k in range(4) for i in range(60)]  # makes all words frequent
+    rows += [(900, " ".join(a), "train"), (901, " ".join(b), "val")]
+    got = O.overlaps(spark, spark.createDataFrame(rows, "row_id long, comment_text string, split string")).collect()
+    assert [(r.row_id, r.train_id, r.exact) for r in got] == [(901, 900, False)]
+    assert abs(got[0].similarity - 27 / 33) < 1e-12 and got[0].coverage == 0.9
+
+
+def test_no_overlap_is_lost(spark, monkeypatch):
+    for seed, least in ((8, 50), (21, 5)):  # few frequent words, then many
+        monkeypatch.setattr(S, "LEAST_LONG", least)
+        texts = corpus(300, seed)
+        rnd = random.Random(seed)
+        split = [rnd.choice(["train", "train", "val", "test"]) for _ in texts]
+        seq = {tuple(words(t)) for t, s in zip(texts, split) if s == "train"}
+        want = {i for i, (t, s) in enumerate(zip(texts, split)) if s != "train" and tuple(words(t)) in seq}
+        want |= {x for a, b in brute(texts) for x, y in ((a, b), (b, a)) if split[x] != "train" and split[y] == "train"}
+        df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, split))], "row_id long, comment_text string, split string").repartition(4)
+        assert {r.row_id for r in O.overlaps(spark, df).collect()} == want
+
+
 def test_chain_and_coverage():
     assert O.chained([(0, 5), (1, 6), (2, 1), (3, 8)]) == [(0, 5), (1, 6), (3, 8)]
     assert O.chained([]) == []
