@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
-from .similar import _ODD, _SIZE, WordHashes, _keyed, _long_lists, _mix, overlap, packed_size, parity, read_only
+from .similar import _ODD, _SIZE, WordHashes, _keyed, _long_lists, _mix, overlap, read_only
 from .textforms import words
 
 SHORT_RUN, SHORT_WINDOW = 3, 8
 LONG_RUN, LONG_WINDOW = 8, 12
-#: A fingerprint is common if more evaluation records hold it: so many, or this share of all fingerprints.
-COMMON, COMMON_SHARE = 200, 50_000
 #: A fingerprint that two texts repeat so often (product of both numbers) seeds them in order only.
 _REPEATS = 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -109,55 +107,6 @@ def fingerprints(tokens: np.ndarray, starts: np.ndarray, long: np.ndarray, run:
     return pos, v[pos]
 
 
-def _fingerprinted(spark: SparkSession, runs: DataFrame, long: np.ndarray) -> DataFrame:
-    """`key`, `chain` (of a run of frequent words and its successor; else null), `id` (hash of the sequence), `side`, `pos`, sketch in `more` and `sketch`.
-
-    A sequence is fingerprinted once a side and partition.
-    """
-    shared = spark.sparkContext.broadcast(long)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
-                both = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-                new = [k for k, x in enumerate(both) if x not in seen and not seen.add(x)]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if not new:
-                    continue
-                if len(new) < len(both):
-                    b = b.take(pa.array(new, pa.int64()))
-                lists = b.column(3)
-                starts = np.asarray(lists.offsets).astype(np.int64)
-                tokens = np.asarray(lists.values)[starts[0] : starts[-1]]
-                starts = starts - starts[0]
-                own = np.repeat(np.arange(b.num_rows), np.diff(starts))
-                a = fingerprints(tokens, starts, shared.value, SHORT_RUN, SHORT_WINDOW, True)
-                c = fingerprints(tokens, starts, shared.value, LONG_RUN, LONG_WINDOW, False)
-                pos, key = np.concatenate([a[0], c[0]]), np.concatenate([a[1], c[1]])
-                frequent = np.r_[np.zeros(len(a[0]), bool), np.ones(len(c[0]), bool)]
-                order = np.argsort(pos, kind="stable")
-                pos, key, frequent = pos[order], key[order], frequent[order]
-                rows = own[pos]
-                after = np.r_[key[1:], np.zeros(min(1, len(key)), np.uint64)]
-                follows = np.r_[rows[1:] == rows[:-1], np.zeros(min(1, len(key)), bool)]
-                chain = _mix(key * np.uint64(31) + np.where(follows, after, np.uint64(0)))
-                # distinct words, so that a repeated word does not cancel itself in the sketch
-                pairs = np.unique(own.astype(np.uint64) << np.uint64(32) | tokens.view(np.uint32).astype(np.uint64))
-                first = np.searchsorted(pairs >> np.uint64(32), np.arange(b.num_rows, dtype=np.uint64))
-                sketch = parity(_mix((pairs & np.uint64(0xFFFFFFFF)) + _ODD), np.r_[first, len(pairs)])
-                more = packed_size(np.asarray(b.column(2)).astype(np.int64), sketch[1])
-                cols = [b.column(i).take(pa.array(rows)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(chain.view(np.int64), mask=~frequent), *cols, pa.array((pos - starts[rows]).astype(np.int32)), pa.array(more[rows]), pa.array(sketch[0][rows].view(np.int64))],
-                    ["key", "chain", "id", "side", "pos", "more", "sketch"],
-                )
-
-    return runs.select(F.col("lo").alias("id"), "side", "n", "tokens").mapInArrow(run, "key long, chain long, id long, side int, pos int, more long, sketch long")
-
-
 def chained(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of seeds that advance in both records."""
     seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))

@@ -107,6 +107,13 @@ def test_overlaps_of_frequent_words_only(spark):
     assert abs(got[0].similarity - 27 / 33) < 1e-12 and got[0].coverage == 0.9
 
 
+def test_overlaps_of_a_hot_template(spark):
+    template = " ".join(f"w{i}" for i in range(16))  # 16 of 20 words shared, the rest differ
+    rows = [(i, f"{template} a{i} b{i}", "val") for i in range(230)] + [(900 + i, f"{template} c{i} d{i}", "train") for i in range(3)]
+    got = O.overlaps(spark, spark.createDataFrame(rows, "row_id long, comment_text string, split string")).collect()
+    assert sorted(r.row_id for r in got) == list(range(230)) and {r.train_id for r in got} == {900}
+
+
 def test_no_overlap_is_lost(spark, monkeypatch):
     for seed, least in ((8, 50), (21, 5)):  # few frequent words, then many
         monkeypatch.setattr(S, "LEAST_LONG", least)
