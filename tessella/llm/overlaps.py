@@ -209,14 +209,15 @@ def _aligned(spark: SparkSession, pairs: DataFrame, texts: DataFrame, threshold:
     return j.select("e", "t", "ex", "tx").mapInArrow(run, "e long, t long, similarity double, coverage double")
 
 
-def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str = "comment_text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, least: int = 12) -> DataFrame:
-    """Evaluation records that stand in training, with their best partner: `key`, `train_id`, `exact`, `similarity`, `coverage`.
+def linked(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str = "comment_text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, least: int = 12, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): `id`, `side` (0 train, 1 evaluation), `rep` of every row with a word, and all overlaps of representatives: `e`, `t`, `exact`, `similarity`, `coverage`.
 
     Exact: the same words in the same order, any number of them.  Near: the
     sets of words reach `threshold` and both hold at least `least` words.
     Rows with the same sequence of words stand for one record on each side,
     so copies cost nothing.  Null, empty and wordless texts and rows of other
-    or null splits are left out; an empty side gives an empty table.
+    or null splits are left out; an empty side gives no links.  Without
+    `every`, what has an exact partner is not searched for near ones.
     """
     runs = keep(word_runs(df, key, text, split, train, list(evaluation)))
     firsts = runs.groupBy("lo", "hi", "side").agg(F.min("id").alias("rep"))
@@ -233,14 +234,32 @@ def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str
     size = (F.greatest(na, nb) == _SIZE) | ((F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (bits("sketch") + high <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & size).select(F.col("a.lo").alias("le"), F.col("b.lo").alias("lt")).distinct()
     named = met.join(here.select(F.col("lo").alias("le"), "e"), "le").join(there.select(F.col("lo").alias("lt"), "t"), "lt")
-    # what has an exact partner needs no near one
-    pairs = keep(named.select("e", "t").join(exact.select("e"), "e", "left_anti"))
+    named = named.select("e", "t").join(exact if every else exact.select("e"), ["e", "t"] if every else "e", "left_anti")
+    pairs = keep(named)
     texts = read_only(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), pairs, ["e", "t"])
-    near = _aligned(spark, pairs, texts, threshold, long)
-    best = near.groupBy("e").agg(F.max_by(F.struct("t", "similarity", "coverage"), F.struct("similarity", "coverage", -F.col("t"))).alias("m")).select("e", "m.*")
-    both = exact.select("e", "t", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")).unionByName(best.withColumn("exact", F.lit(False)).select("e", "t", "exact", "similarity", "coverage"))
-    same = runs.where("side = 1").select("id", "lo", "hi").join(here, ["lo", "hi"]).select("id", "e").distinct()
-    return same.join(both, "e").select(F.col("id").alias(key), F.col("t").alias("train_id"), "exact", "similarity", "coverage")
+    near = _aligned(spark, pairs, texts, threshold, long).dropDuplicates(["e", "t"])
+    links = exact.select("e", "t", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")).unionByName(near.withColumn("exact", F.lit(False)).select("e", "t", "exact", "similarity", "coverage"))
+    members = runs.select("id", "side", "lo", "hi").join(firsts, ["lo", "hi", "side"]).select("id", "side", "rep").distinct()
+    return members, keep(links)
+
+
+def found(spark: SparkSession, df: DataFrame, key: str = "row_id", **options) -> DataFrame:
+    """The `key` of evaluation records that stand in training."""
+    members, links = linked(spark, df, key, every=False, **options)
+    return members.where("side = 1").join(links.select(F.col("e").alias("rep")), "rep", "left_semi").select(F.col("id").alias(key))
+
+
+def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", **options) -> DataFrame:
+    """Evaluation records that stand in training, with their best partner and the numbers of all: `key`, `train_id`, `exact`, `similarity`, `coverage`, `exact_partners`, `near_partners`.
+
+    An exact partner is better than a near one.  `linked` has every pair.
+    """
+    members, links = linked(spark, df, key, **options)
+    copies = members.where("side = 0").groupBy(F.col("rep").alias("t")).agg(F.count(F.lit(1)).alias("copies"))
+    number = lambda c: F.sum(F.when(c, F.col("copies")).otherwise(0)).cast("long")
+    best = F.max_by(F.struct("t", "exact", "similarity", "coverage"), F.struct("exact", "similarity", "coverage", -F.col("t")))
+    per = links.join(copies, "t").groupBy("e").agg(best.alias("m"), number(F.col("exact")).alias("exact_partners"), number(~F.col("exact")).alias("near_partners")).select(F.col("e").alias("rep"), "m.*", "exact_partners", "near_partners")
+    return members.where("side = 1").join(per, "rep").select(F.col("id").alias(key), F.col("t").alias("train_id"), "exact", "similarity", "coverage", "exact_partners", "near_partners")
 
 
 def report(df: DataFrame, found: DataFrame, key: str = "row_id", split: str = "split", source: str = "source", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:

@@ -69,13 +69,21 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.overlaps(spark, _split(spark, d)).select("row_id")
+    return overlaps.found(spark, _split(spark, d))
 
 
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlaps(spark, _split(spark, d))
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.linked(spark, _split(spark, d))[0]
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.linked(spark, _split(spark, d))[1]
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     split = _split(spark, d)
     return overlaps.report(split, overlaps.overlaps(spark, split))
@@ -108,7 +116,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(_documents(spark, d)))
 
 
-_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_members, p5_links, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -114,6 +114,18 @@ def test_overlaps_of_a_hot_template(spark):
     assert sorted(r.row_id for r in got) == list(range(230)) and {r.train_id for r in got} == {900}
 
 
+def test_all_partners_of_an_overlap(spark):
+    t = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, t, "train"), (2, t.upper(), "train"), (3, t + " more", "train"), (4, t + " most", "train"), (5, t, "val"), (6, t + " other", "test"), (7, t, "test")]
+    df = spark.createDataFrame(rows, "row_id long, comment_text string, split string")
+    members, links = O.linked(spark, df)
+    assert {(r.e, r.t, r.exact) for r in links.collect()} == {(5, 1, True), (5, 3, False), (5, 4, False), (6, 1, False), (6, 3, False), (6, 4, False)}
+    assert {(r.id, r.rep) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 5)}
+    got = {r.row_id: (r.train_id, r.exact, r.exact_partners, r.near_partners) for r in O.overlaps(spark, df).collect()}
+    assert got == {5: (1, True, 2, 2), 7: (1, True, 2, 2), 6: (1, False, 0, 4)}
+    assert sorted(r.row_id for r in O.found(spark, df).collect()) == [5, 6, 7]
+
+
 def test_no_overlap_is_lost(spark, monkeypatch):
     for seed, least in ((8, 50), (21, 5)):  # few frequent words, then many
         monkeypatch.setattr(S, "LEAST_LONG", least)
