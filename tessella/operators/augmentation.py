@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -75,3 +78,44 @@ def fit_classifier(df: DataFrame, text: str, label: Column, **options) -> Pipeli
 def probability(model: PipelineModel, df: DataFrame, text: str, into: str = "probability_1") -> DataFrame:
     out = model.transform(df.withColumn("text", F.coalesce(F.col(text), F.lit(""))).withColumn("w", F.lit(1.0)))
     return out.withColumn(into, vector_to_array("probability")[1]).select(*df.columns, into)
+
+
+def unaccented(c: Column) -> Column:
+    """Lower case, compatibility forms decomposed and combining marks dropped; null counts as empty."""
+
+    @F.arrow_udf("string")
+    def strip(x: pa.Array) -> pa.Array:
+        return pa.array(["".join(k for k in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(k)) for t in x.to_pylist()], pa.string())
+
+    return strip(F.coalesce(c, F.lit("")))
+
+
+def fit_classifiers(df: DataFrame, text: str, labels: list[str], **options) -> tuple[PipelineModel, dict[str, LogisticRegressionModel | None]]:
+    """(features, a model per 0/1 label column): terms are counted once over all rows, then each label is fitted on the rows where it is not null.
+
+    A label without rows of both classes has no model.
+    """
+    stages = classifier(**options).getStages()
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *labels)
+    features = Pipeline(stages=stages[:-1]).fit(rows)
+    ready = features.transform(rows).select("features", *labels).persist()
+    n = ready.agg(*[F.count_if(F.col(x) == v).alias(f"{x}_{v}") for x in labels for v in (0, 1)]).first()
+    models: dict[str, LogisticRegressionModel | None] = {}
+    for x in labels:
+        a, b = n[f"{x}_0"], n[f"{x}_1"]
+        weight = F.when(F.col(x) == 1, (a + b) / (2 * max(1, b))).otherwise((a + b) / (2 * max(1, a)))
+        models[x] = stages[-1].fit(ready.where(F.col(x).isNotNull()).select("features", F.col(x).cast("double").alias("label"), weight.alias("w"))) if a and b else None
+    ready.unpersist()
+    return features, models
+
+
+def probabilities(features: PipelineModel, models: dict[str, LogisticRegressionModel | None], df: DataFrame, text: str, key: str = "row_id") -> DataFrame:
+    """`key` and the probability of each label; null where it has no model."""
+    out = features.transform(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(key, "features")
+    for x, m in models.items():
+        if m is None:
+            out = out.withColumn(x, F.lit(None).cast("double"))
+        else:
+            m = m.copy().setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_h")
+            out = m.transform(out).withColumn(x, vector_to_array("_p")[1]).drop("_p", "_r", "_h")
+    return out.drop("features")

@@ -980,9 +980,10 @@ def batch_scores(spark, d):
 
 @query()
 def text_classifier(spark, d):
-    rows = keep(_wide_split(spark, d).where("lang = 'en'").select("row_id", "split", "comment_text", "toxic"))
-    model = A.fit_classifier(rows.where("split = 'train'"), "comment_text", F.when(F.col("toxic").isNotNull(), is_pos("toxic").cast("int")), iterations=30)
-    return A.probability(model, rows.where("split <> 'train'"), "comment_text").select("row_id", F.round("probability_1", 4).alias("p"))
+    labels = [F.when(F.col(x).isNotNull(), is_pos(x).cast("int")).alias(x) for x in LABELS]
+    rows = keep(_wide_split(spark, d).select("row_id", "split", A.unaccented(F.col("comment_text")).alias("text"), *labels))
+    fitted = A.fit_classifiers(rows.where("split = 'train'"), "text", LABELS)
+    return A.probabilities(*fitted, rows.where("split is null or split <> 'train'"), "text").select("row_id", *[F.round(x, 4).alias(x) for x in LABELS])
 
 
 _HIT = {x: "|".join(p) for x, (_, p) in E.LEXICON.items()}

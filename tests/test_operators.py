@@ -210,6 +210,18 @@ def test_importance(spark):
     assert low.agg(F.sum("insult")).first()[0] == 0
 
 
+def test_classifiers_of_all_labels(spark):
+    from tessella.operators import augmentation as A
+
+    rows = [(i, ("d\u00e9j\u00e0 VU" if i % 2 else "deja vu") + (" bad" if i % 3 == 0 else " good"), int(i % 3 == 0), None if i < 4 else int(i % 2), 0) for i in range(60)] + [(99, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "row_id long, t string, toxic int, insult int, threat int").withColumn("t", A.unaccented(F.col("t")))
+    assert {r.t for r in df.where("toxic = 1").collect()} == {"deja vu bad"}
+    features, models = A.fit_classifiers(df, "t", ["toxic", "insult", "threat"])
+    p = {r.row_id: r for r in A.probabilities(features, models, df, "t").collect()}
+    assert len(p) == 61 and p[0].toxic > 0.9 > 0.1 > p[1].toxic and p[0].threat is None and p[99].insult is not None
+    assert models["toxic"].getMaxIter() == 200 and models["threat"] is None
+
+
 def test_bootstrap_means_one(spark):
     df = spark.range(4000).withColumnRenamed("id", "row_id")
     n = G.bootstrap_counts(df, 2).agg(F.sum("times")).first()[0] / 8000
