@@ -109,7 +109,7 @@ def roc(df: DataFrame, *by: str) -> DataFrame:
     return c.select(*by, "p", F.round(F.col("fp") / F.col("_n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("_p"), 6).alias("tpr"))
 
 
-def bootstrap_auc(df: DataFrame, *by: str, replicates: int = 100, seed: int = 7) -> DataFrame:
+def bootstrap_auc(df: DataFrame, *by: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Mean and population deviation of the AUC over Poisson bootstrap replicates."""
     from .sampling import bootstrap_counts
 
@@ -121,7 +121,7 @@ def bootstrap_auc(df: DataFrame, *by: str, replicates: int = 100, seed: int = 7)
     return one.groupBy(*by).agg(F.round(F.avg("auc"), 6).alias("auc_mean"), F.round(F.stddev_pop("auc"), 6).alias("auc_std"), F.count("auc").alias("replicates"))
 
 
-def roc_band(df: DataFrame, *by: str, replicates: int = 50, points: int = 100, seed: int = 7) -> DataFrame:
+def roc_band(df: DataFrame, *by: str, replicates: int = 1000, points: int = 100, seed: int = 7) -> DataFrame:
     """Mean true-positive rate on a grid of false-positive rates over bootstrap replicates, with one deviation below and above, within 0 and 1."""
     from .sampling import bootstrap_counts
 

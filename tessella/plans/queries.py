@@ -640,7 +640,7 @@ def trim_to_quota(spark, d):
 
 @query()
 def bootstrap_sample(spark, d):
-    return G.bootstrap_counts(_split(spark, d).select("row_id", "lang"), 3).groupBy("replicate", "lang").agg(F.sum("times").alias("n"))
+    return G.bootstrap_counts(_split(spark, d).select("row_id", "lang"), 1000).groupBy("replicate", "lang").agg(F.sum("times").alias("n"))
 
 
 # --- evaluation --------------------------------------------------------------

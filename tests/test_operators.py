@@ -226,3 +226,15 @@ def test_bootstrap_means_one(spark):
     df = spark.range(4000).withColumnRenamed("id", "row_id")
     n = G.bootstrap_counts(df, 2).agg(F.sum("times")).first()[0] / 8000
     assert abs(n - 1) < 0.05
+
+
+def test_bootstraps_take_1000_replicates(spark):
+    import inspect
+
+    from tessella.plans import queries as Q
+
+    rows = [(i, "toxic", i % 2, i / 10) for i in range(10)]
+    df = spark.createDataFrame(rows, "row_id long, label string, y int, p double")
+    assert M.bootstrap_auc(df, "label").first().replicates > 950  # those that draw both classes
+    assert inspect.signature(M.roc_band).parameters["replicates"].default == 1000
+    assert ", 1000)" in inspect.getsource(Q.bootstrap_sample)
