@@ -1,15 +1,15 @@
 """Problem 5: the same or nearly the same records across splits.
 
-Candidates are complete: evaluation and training records are joined on the keys
-of `similar.signatures`, of which every pair that reaches the threshold shares
-one, and read and compared exactly.
-
-Winnowing seeds the alignment of what is found: of each record's rolling hashes
-over runs of words, the minima of sliding windows are selected as fingerprints;
-equal fingerprints are seeds; collinear seeds are chained and extended; coverage
-is reported per record and source.  Two runs are fingerprinted: short runs that
-hold a seldom word, and longer runs of frequent words.  A pair without a common
-fingerprint is seeded by every short run.
+Winnowing: of each record's rolling hashes over runs of five words, the minima
+of sliding windows are selected as fingerprints, and evaluation records are
+joined with training records on them.  Fingerprints that stand in many records
+(phrases of the house) are left out of the join, and a pair may share no run of
+words at all (its words reordered, or edits all over); for these the exact way
+is problem 2's search: the lists of `similar.signatures` go into the same join,
+and every pair that reaches the threshold shares one of those.  What the join
+brings together is read and compared exactly, its equal fingerprints are the
+seeds, collinear seeds are chained and extended to an alignment, and coverage
+is reported per record, split and source.
 """
 
 from __future__ import annotations
@@ -23,23 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
-from .similar import _ODD, _SIZE, WordHashes, _keyed, _long_lists, _mix, overlap, read_only
+from .similar import _ODD, HASH_BITS, WordHashes, _mix, keyed, list_partitions, long_lists, met, only, overlap, sorted_lists
 from .textforms import words
 
-SHORT_RUN, SHORT_WINDOW = 3, 8
-LONG_RUN, LONG_WINDOW = 8, 12
+RUN, WINDOW = 5, 8
+SEED_RUN = 3  # words of a seed where two records share no fingerprint
 #: A fingerprint that two texts repeat so often (product of both numbers) seeds them in order only.
 _REPEATS = 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def word_runs(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: list[str]) -> DataFrame:
-    """`id`, `side` (0 train, 1 evaluation), `n` distinct words, `lo`, `hi` (hash of the sequence), `tokens` (32-bit hashes of the distinct words); rows with a word only."""
+def word_runs(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: list[str], least: int) -> DataFrame:
+    """Rows with a word: `id`, `side` (0 train, 1 evaluation), `n` distinct words, `lo`, `hi` (hash of the sequence), and for rows of `least` distinct words `tokens` (their sorted hashes) and `prints` (the fingerprints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            ids, side, n, lens, flat, distinct = [], [], [], [], [], []
+            ids, side, n, held, lens, flat, distinct = [], [], [], [], [], [], []
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if t and (w := words(t)):
                     ids.append(i)
@@ -49,17 +49,30 @@ def word_runs(df: DataFrame, key: str, text: str, split: str, train: str, evalua
                     n.append(len(own))
                     lens.append(len(w))
                     flat += h
+                    if len(own) < least:
+                        own = ()
+                    held.append(len(own))
                     distinct += own
             h = np.array(flat, np.uint64)
-            starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+            starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
             place = _mix(np.arange(len(h), dtype=np.uint64) - np.repeat(starts[:-1], lens).astype(np.uint64) + _ODD)
             lo = np.add.reduceat(_mix(h ^ place), starts[:-1]) if ids else h
             hi = np.add.reduceat(_mix(h + place), starts[:-1]) if ids else h
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((np.array(distinct, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(side, pa.int32()), pa.array(n, pa.int32()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), tokens], ["id", "side", "n", "lo", "hi", "tokens"])
+            pos, prints = fingerprints(h, starts)
+            owner = np.searchsorted(starts, pos, "right") - 1
+            used = np.array(held, np.int64)[owner] > 0 if len(pos) else np.zeros(0, bool)
+            owner, prints = owner[used], prints[used] >> np.uint64(64 - HASH_BITS)
+            once = np.lexsort((prints, owner))
+            owner, prints = owner[once], prints[once]
+            new = np.r_[True, (owner[1:] != owner[:-1]) | (prints[1:] != prints[:-1])] if len(owner) else np.zeros(0, bool)
+            per = np.bincount(owner[new], minlength=len(ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(side, pa.int32()), pa.array(n, pa.int32()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), sorted_lists(np.array(distinct, np.uint64), held), sorted_lists(prints[new], per.tolist())],
+                ["id", "side", "n", "lo", "hi", "tokens", "prints"],
+            )
 
     rows = df.where(F.col(split).isin(train, *evaluation)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.col(split).alias("s"))
-    return rows.mapInArrow(run, "id long, side int, n int, lo long, hi long, tokens array<int>")
+    return rows.mapInArrow(run, "id long, side int, n int, lo long, hi long, tokens array<long>, prints array<long>")
 
 
 def _minima(v: np.ndarray, room: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -82,28 +95,20 @@ def _minima(v: np.ndarray, room: np.ndarray, first: np.ndarray, window: int) ->
     return sel
 
 
-def fingerprints(tokens: np.ndarray, starts: np.ndarray, long: np.ndarray, run: int, window: int, seldom: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected fingerprints of records laid end to end.
-
-    With `seldom`, runs that hold a word not in `long`; else runs of words in `long` only.
-    """
+def fingerprints(tokens: np.ndarray, starts: np.ndarray, run: int = RUN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the selected fingerprints of records laid end to end.  Two records share one if they share run + window - 1 words in a row."""
     lens = np.diff(starts)
     room = np.repeat(starts[1:], lens) - np.arange(len(tokens)) - (run - 1)  # runs from here to the end of the record
     first = np.zeros(len(tokens), bool)
     first[starts[:-1][lens > 0]] = True
-    h = _mix(tokens.view(np.uint32).astype(np.uint64) + _ODD)
-    at = np.searchsorted(long, tokens)
-    rare = (long[np.minimum(at, len(long) - 1)] != tokens) if len(long) else np.ones(len(tokens), bool)
+    h = _mix(tokens + _ODD)
     roll = np.zeros(len(tokens), np.uint64)
-    held = np.zeros(len(tokens), bool)
+    good = room > 0
+    i = np.flatnonzero(good)
     for k in range(run):
-        i = np.flatnonzero(room > 0)
         roll[i] = roll[i] * np.uint64(0x100000001B3) + h[i + k]
-        held[i] |= rare[i + k]
-    good = (room > 0) & (held if seldom else ~held)
-    v = np.where(good, _mix(roll + np.uint64(run)) >> np.uint64(1), _MAX)
-    sel = _minima(v, room, first, window) & good
-    pos = np.flatnonzero(sel)
+    v = np.where(good, _mix(roll + np.uint64(run)), _MAX)
+    pos = np.flatnonzero(_minima(v, room, first, window) & good)
     return pos, v[pos]
 
 
@@ -146,25 +151,22 @@ def coverage(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> float:
     return sum(covered) / max(1, len(a))
 
 
-def winnowed(texts: list[list[str]], hashes: WordHashes, long: np.ndarray) -> list[dict[int, list[int]]]:
+def winnowed(texts: list[list[str]], hashes: WordHashes) -> list[dict[int, list[int]]]:
     """Of each list of words its fingerprints and where they start."""
     out: list[dict[int, list[int]]] = [{} for _ in texts]
     starts = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
-    flat = np.array([h for w in texts for h in hashes(w)], np.uint64)
-    tokens = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    for run, window, seldom in ((SHORT_RUN, SHORT_WINDOW, True), (LONG_RUN, LONG_WINDOW, False)):
-        pos, keys = fingerprints(tokens, starts, long, run, window, seldom)
-        own = np.searchsorted(starts, pos, "right") - 1
-        for o, p, k in zip(own.tolist(), (pos - starts[own]).tolist(), keys.tolist()):
-            out[o].setdefault(k, []).append(p)
+    pos, keys = fingerprints(np.array([h for w in texts for h in hashes(w)], np.uint64), starts)
+    own = np.searchsorted(starts, pos, "right") - 1
+    for o, p, k in zip(own.tolist(), (pos - starts[own]).tolist(), keys.tolist()):
+        out[o].setdefault(k, []).append(p)
     return out
 
 
 def every_run(w: list[str]) -> dict[int, list[int]]:
     """As `winnowed` of one text, with nothing left out: all its short runs."""
     out: dict[int, list[int]] = {}
-    for i in range(len(w) - SHORT_RUN + 1):
-        out.setdefault(hash(tuple(w[i : i + SHORT_RUN])), []).append(i)
+    for i in range(len(w) - SEED_RUN + 1):
+        out.setdefault(hash(tuple(w[i : i + SEED_RUN])), []).append(i)
     return out
 
 
@@ -177,9 +179,7 @@ def seeds_of(a: dict[int, list[int]], b: dict[int, list[int]]) -> list[tuple[int
     return out
 
 
-def _aligned(spark: SparkSession, pairs: DataFrame, texts: DataFrame, threshold: float, long: np.ndarray) -> DataFrame:
-    shared = spark.sparkContext.broadcast(long)
-
+def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
@@ -197,7 +197,7 @@ def _aligned(spark: SparkSession, pairs: DataFrame, texts: DataFrame, threshold:
                         sims.append(sim)
                         both.append((x, y))
                 need = list(dict.fromkeys(t for p in both for t in p))
-                prints = dict(zip(need, winnowed([known[t][0] for t in need], hashes, shared.value)))
+                prints = dict(zip(need, winnowed([known[t][0] for t in need], hashes)))
                 covers = []
                 for x, y in both:
                     wx, wy = known[x][0], known[y][0]
@@ -212,33 +212,29 @@ def _aligned(spark: SparkSession, pairs: DataFrame, texts: DataFrame, threshold:
 def linked(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str = "comment_text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, least: int = 12, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(membership, links): `id`, `side` (0 train, 1 evaluation), `rep` of every row with a word, and all overlaps of representatives: `e`, `t`, `exact`, `similarity`, `coverage`.
 
-    Exact: the same words in the same order, any number of them.  Near: the
-    sets of words reach `threshold` and both hold at least `least` words.
-    Rows with the same sequence of words stand for one record on each side,
-    so copies cost nothing.  Null, empty and wordless texts and rows of other
-    or null splits are left out; an empty side gives no links.  Without
-    `every`, what has an exact partner is not searched for near ones.
+    Exact: the same words in the same order, any number of them, told by the
+    hash of the whole sequence.  Near: the sets of words reach `threshold` and
+    both hold at least `least` words.  Rows with the same sequence of words
+    stand for one record on each side, so copies cost nothing.  Null, empty and
+    wordless texts and rows of other or null splits are left out; an empty side
+    gives no links.  Without `every`, what has an exact partner is not searched
+    for near ones.
     """
-    runs = keep(word_runs(df, key, text, split, train, list(evaluation)))
-    firsts = runs.groupBy("lo", "hi", "side").agg(F.min("id").alias("rep"))
+    runs = keep(word_runs(df, key, text, split, train, list(evaluation), least))
+    firsts = keep(runs.groupBy("lo", "hi", "side").agg(F.min("id").alias("rep")))
     here = firsts.where("side = 1").select("lo", "hi", F.col("rep").alias("e"))
     there = firsts.where("side = 0").select("lo", "hi", F.col("rep").alias("t"))
     exact = keep(here.join(there, ["lo", "hi"]).select("e", "t"))
-    long = _long_lists(runs)
-    keyed = lambda side: _keyed(spark, runs.where(f"side = {side} and n >= {least}"), long, threshold)
-    a, b = keyed(1).alias("a"), keyed(0).alias("b")
-    words_of = lambda x: F.col(f"{x}.more").bitwiseAND(F.lit(_SIZE))
-    bits = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
-    high = F.bit_count(F.shiftrightunsigned(F.col("a.more"), 20).bitwiseXOR(F.shiftrightunsigned(F.col("b.more"), 20)))
-    na, nb = words_of("a"), words_of("b")
-    size = (F.greatest(na, nb) == _SIZE) | ((F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (bits("sketch") + high <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & size).select(F.col("a.lo").alias("le"), F.col("b.lo").alias("lt")).distinct()
-    named = met.join(here.select(F.col("lo").alias("le"), "e"), "le").join(there.select(F.col("lo").alias("lt"), "t"), "lt")
-    named = named.select("e", "t").join(exact if every else exact.select("e"), ["e", "t"] if every else "e", "left_anti")
-    pairs = keep(named)
-    texts = read_only(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), pairs, ["e", "t"])
-    near = _aligned(spark, pairs, texts, threshold, long).dropDuplicates(["e", "t"])
-    links = exact.select("e", "t", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")).unionByName(near.withColumn("exact", F.lit(False)).select("e", "t", "exact", "similarity", "coverage"))
+    near = runs.where(F.col("n") >= least)
+    long, hot = long_lists(near), long_lists(near, "prints")
+    side = lambda x: keyed(spark, near.where(F.col("side") == x), long, threshold, hot)
+    with list_partitions(spark, 30 * firsts.count()):
+        pairs = met(side(1), side(0), threshold, same=False)
+        named = pairs.join(here.select(F.col("lo").alias("a"), "e"), "a").join(there.select(F.col("lo").alias("b"), "t"), "b").select("e", "t")
+        pairs = keep(named.join(exact if every else exact.select("e"), ["e", "t"] if every else "e", "left_anti"))
+    texts = only(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), pairs, ["e", "t"])
+    aligned = _aligned(pairs, texts, threshold).dropDuplicates(["e", "t"])
+    links = exact.select("e", "t", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")).unionByName(aligned.withColumn("exact", F.lit(False)).select("e", "t", "exact", "similarity", "coverage"))
     members = runs.select("id", "side", "lo", "hi").join(firsts, ["lo", "hi", "side"]).select("id", "side", "rep").distinct()
     return members, keep(links)
 
@@ -262,6 +258,22 @@ def overlaps(spark: SparkSession, df: DataFrame, key: str = "row_id", **options)
     return members.where("side = 1").join(per, "rep").select(F.col("id").alias(key), F.col("t").alias("train_id"), "exact", "similarity", "coverage", "exact_partners", "near_partners")
 
 
+def by_sources(df: DataFrame, members: DataFrame, links: DataFrame, key: str = "row_id", split: str = "split", source: str = "source") -> DataFrame:
+    """Per evaluation split, its source and the training source: evaluation records with an exact and with a near partner there; a null source stands as null.
+
+    Representatives meet, with how many of their copies each source holds, so
+    neither links nor copies are multiplied out.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(split).alias("split"), F.col(source).alias("source")).distinct()
+    placed = members.join(rows, "id")
+    here = placed.where("side = 1").groupBy(F.col("rep").alias("e"), "split", "source").agg(F.count(F.lit(1)).alias("n"))
+    there = placed.where("side = 0").select(F.col("rep").alias("t"), F.col("source").alias("train_source")).distinct()
+    per = links.join(there, "t").groupBy("e", "train_source").agg(F.max("exact").alias("exact"), F.max(~F.col("exact")).alias("near"))
+    return here.join(per, "e").groupBy("split", "source", "train_source").agg(
+        F.sum("n").alias("records"), F.sum(F.when(F.col("exact"), F.col("n")).otherwise(0)).alias("exact"), F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)).alias("near")
+    )
+
+
 def report(df: DataFrame, found: DataFrame, key: str = "row_id", split: str = "split", source: str = "source", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """Per split and source: records, exact and near overlaps, the share of both and their mean coverage; a null source stands as null."""
     rows = df.where(F.col(split).isin(*evaluation)).select(key, split, source)

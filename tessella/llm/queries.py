@@ -44,7 +44,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return similar.groups(*similar.similar(spark, _split(spark, d)))
+    split = _split(spark, d)
+    return similar.groups(split, *similar.similar(spark, split))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +90,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.report(split, overlaps.overlaps(spark, split))
 
 
+def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    split = _split(spark, d)
+    return overlaps.by_sources(split, *overlaps.linked(spark, split))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(spark, _documents(spark, d))
 
@@ -116,7 +122,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(_documents(spark, d)))
 
 
-_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_members, p5_links, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_members, p5_links, p5_report, p5_sources, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
