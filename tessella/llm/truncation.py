@@ -2,9 +2,12 @@
 
 A stack automaton reads each text and reports what is still open at its end:
 brackets, quotes, markup, an entity, a link, an escape, a damaged character.
-A text without a terminator is held against the corpus: whether its last word
-exists, whether sentences end in it, and whether its source keeps many texts
-of just this length.
+An open quote or tag counts where quotes or tags of its kind are normally
+closed in its source.  A text that misses its terminator is held against the
+corpus (whether its last word exists, and how seldom sentences end in it)
+and against its source: of the texts of the source that miss a terminator,
+how many are plainly cut and how many plainly whole, and whether the source
+keeps many unfinished texts of just this length.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
@@ -29,92 +32,156 @@ _ENTITY_RE = re.compile(r"&(?:#x?)?[A-Za-z0-9]{0,7}$")
 _WHOLE_ENTITY_RE = re.compile(r"&(?:#x?)?[A-Za-z0-9]{2,8};$")
 _ESCAPE_RE = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?)$")
 _TAG_RE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
-_OPEN_TAG_RE = re.compile(r"</?[A-Za-z!]?[^<>]*$")
 _FACE_RE = re.compile(r"(?<!\w)[:;=8xX]-?[()\[\]DPpdO3/\\|]+|(?<!\w)<3|(?<!\w)\d{1,2}\)|(?m:^\s*[a-z]\))")
 _MARK_ROOM = 12
 _VOID = {"br", "hr", "img", "p", "li", "input", "meta", "link"}
-_CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
-_OPENS = set(_CLOSES.values())
+_CLOSES = {")": "([{", "]": "([{", "}": "([{", "»": "«", "”": "“„"}
+_PAIR = {")": "(", "]": "[", "}": "{"}
+_OPENS = set("([{«“„")
+_SIGNS = set("([{«“„\"<")
 _ENDS = set(".!?…。！？")
 
 
-def open_at_end(text: str) -> str:
-    """What the end of a text leaves open: the name of the first finding, or the empty string."""
-    t = text.rstrip()
+def still_open(t: str) -> tuple[list[str], set[str]]:
+    """The automaton: the stack of brackets, quotes and tags a text leaves open, outermost first, and the kinds of quotes and tags it closes.
+
+    Tags stand as `<name`.  A straight quote opens after a blank or an opening
+    sign and before a visible character, else it closes.  Emoticons and the
+    brackets of numbered items are no brackets.
+    """
+    if _SIGNS.isdisjoint(t):
+        return [], set()
+    stack: list[str] = []
+    closed: set[str] = set()
+
+    def close(kinds: str | tuple[str, ...]) -> None:
+        if any(x in kinds for x in stack):
+            while (x := stack.pop()) not in kinds:
+                pass
+            closed.add(x)
+
+    def signs(part: str) -> None:
+        part = _FACE_RE.sub(lambda m: " " * len(m.group()), part)
+        for i, c in enumerate(part):
+            if c == "“" and "„" in stack:
+                close("„")
+            elif c in _OPENS:
+                stack.append(c)
+            elif c in _CLOSES:
+                close(_PAIR.get(c) or _CLOSES[c])
+            elif c == '"':
+                if (i == 0 or part[i - 1].isspace() or part[i - 1] in "([{-–—/«“„") and i + 1 < len(part) and not part[i + 1].isspace():
+                    stack.append('"')
+                else:
+                    close('"')
+
+    at = 0
+    for m in _TAG_RE.finditer(t) if "<" in t else ():
+        signs(t[at : m.start()])
+        at = m.end()
+        name = "<" + m.group(2).lower()
+        if m.group(1):
+            close((name,))
+        elif name[1:] not in _VOID and not m.group(3).endswith("/"):
+            stack.append(name)
+    signs(t[at:])
+    return stack, closed
+
+
+def _loose_end(t: str) -> str:
+    """What the last characters of a text, blanks stripped, leave open: a damaged character, a mark of omission, a link, an entity, an escape, a tag."""
+    if t[-1] == "�" or "\ud800" <= t[-1] <= "\udfff" or t[-1] == "‍":
+        return "character"
+    t = shown(t).rstrip() if not t.isascii() else t
     if not t:
         return ""
-    if t[-1] == "�" or "\ud800" <= t[-1] <= "\udfff":
-        return "character"
-    if t[-1] == "‍":
-        return "character"
-    t = shown(t).rstrip()
-    if _MARKER_RE.search(t):
+    if t[-1] in ")]" and _MARKER_RE.search(t):
         return "mark"
-    t = _DOTS_RE.sub("", t)
-    if (m := _LINK_RE.search(t)) and not _WHOLE_LINK_RE.match(m.group(1)):
+    if t[-1] in ".…":
+        t = _DOTS_RE.sub("", t)
+        if not t:
+            return ""
+    word = t.rsplit(None, 1)[-1]
+    link = _LINK_RE.search(" " + word)
+    if link and not _WHOLE_LINK_RE.match(link.group(1)):
         return "link"
-    if _ENTITY_RE.search(t) and not m:
+    if "&" in word and not link and _ENTITY_RE.search(word):
         return "entity"
-    if _ESCAPE_RE.search(t):
+    if ("\\" in word or "%" in word) and _ESCAPE_RE.search(word):
         return "escape"
-    # the automaton: tags, then brackets and quotes outside tags and emoticons
-    tags: list[str] = []
-    for m in _TAG_RE.finditer(t):
-        name = m.group(2).lower()
-        if m.group(1):
-            if name in tags:
-                while tags.pop() != name:
-                    pass
-        elif name not in _VOID and not m.group(3).endswith("/"):
-            tags.append(name)
-    rest = _TAG_RE.sub(" ", t)
-    if (m := _OPEN_TAG_RE.search(rest)) and len(m.group()) < 200 and (len(m.group()) == 1 or m.group()[1:2].isalpha() or m.group()[1:2] in "/!"):
-        return "markup"
-    if tags and any(f"</{x}>" in text.lower() for x in tags):
+    tag = t.rfind("<")
+    if tag >= 0 and ">" not in t[tag:] and (tag == len(t) - 1 or t[tag + 1].isalpha() or t[tag + 1] in "/!"):
         return "markup"
-    stack: list[str] = []
-    if any(c in rest for c in "([{«“\""):
-        for c in _FACE_RE.sub(" ", rest):
-            if c in _OPENS:
-                stack.append(c)
-            elif c in _CLOSES:
-                if _CLOSES[c] in stack:
-                    while stack.pop() != _CLOSES[c]:
-                        pass
-            elif c == '"':
-                if '"' in stack:
-                    while stack.pop() != '"':
-                        pass
-                else:
-                    stack.append('"')
-    if stack and stack[-1] in "([{" and rest[-1] not in _ENDS:
-        return "bracket"
     return ""
 
 
-def ending(text: str | None) -> tuple[str, str, str, str, bool, bool] | None:
-    """None for a text that ends with a terminator or is blank; else what is open, the last three words as written, whether a hanging mark ends the text, and whether dots do."""
+def open_at_end(text: str) -> str:
+    """What the end of a text leaves open: the name of the first finding, or the empty string.
+
+    An open bracket, quote or tag is a finding unless the text ends with a terminator.
+    """
+    return _read(text)[0]
+
+
+_BRACKETS = {"(", "[", "{"}
+
+
+def _read(text: str) -> tuple[str, str, set[str]]:
+    """What is open at the end, the quote or tag concerned if it is one, and the kinds of quotes and tags closed."""
+    t = text.rstrip()
+    if not t:
+        return "", "", set()
+    found = _loose_end(t)
+    stack, closed = still_open(t)
+    if found or not stack or t[-1] in _ENDS and not t.endswith(("..", "…")):
+        return found, "", closed
+    if not _BRACKETS.isdisjoint(stack):
+        return "bracket", "", closed
+    return "markup" if stack[-1][0] == "<" else "quote", stack[-1], closed
+
+
+def _last_tokens(t: str) -> list[str]:
+    """The last words and terminators of a text, four or all."""
+    room = 80
+    while True:
+        part = t[-room:]
+        ws = _TOKEN_RE.findall(part)
+        if room >= len(t):
+            return ws
+        if len(ws) > 5:
+            return ws[1:]  # the first may have lost its beginning
+        room *= 4
+
+
+def ending(text: str | None) -> tuple[str, str, str, str, bool, bool, str, list[str]] | None:
+    """None for a text that ends with a terminator or is blank; else what is open, the last three words as written, whether a hanging mark ends the text, whether dots do, the open quote or tag, and the kinds closed."""
     if not text or not text.strip():
         return None
-    found = open_at_end(text)
-    seen = shown(text.rstrip()).rstrip()
-    t = _DOTS_RE.sub("", _MARKER_RE.sub("", seen)).rstrip()
+    found, kind, closed = _read(text)
+    seen = text.rstrip()
+    seen = shown(seen).rstrip() if not seen.isascii() else seen
+    t = seen
+    if t and t[-1] in ")]":
+        t = _MARKER_RE.sub("", t)
+    if t and t[-1] in ".…":
+        t = _DOTS_RE.sub("", t)
+    t = t.rstrip()
     dotted = len(t) < len(seen)
-    if not dotted:
+    if not dotted and t.endswith(";"):
         t = _WHOLE_ENTITY_RE.sub("", t).rstrip()
     if not t:
         return None
     last = t[-1]
     if not found and not dotted and not last.isalnum() and last not in ",;:-–—'’_/&%#@$<([{«“":
         return None  # a terminator, an emoji, a closing bracket or quote
-    ws = _TOKEN_RE.findall(t)
+    ws = _last_tokens(t)
     words = [w for w in ws[-4:] if w[0] not in _ENDS]
     if not words:
-        return (found, "", "", "", False, dotted) if found else None
+        return (found, "", "", "", False, dotted, kind, sorted(closed)) if found else None
     if len(words) == 1 and len(ws) == 1 and not found:
         return None  # a post of one word
     words = ["", "", *words][-3:]
-    return found, words[0], words[1], words[2], last in ",-–—'’_&([{«“", dotted
+    return found, words[0], words[1], words[2], last in ",-–—'’_&([{«“", dotted, kind, sorted(closed)
 
 
 def _name_like(token: str, before: str) -> bool:
@@ -136,59 +203,63 @@ def _facts(texts: list[str | None]) -> dict[str, list[int]]:
         if ts and (ts[-1] == "…" or ts[-2:] == [".", "."]):
             while ts and ts[-1] in ".…":
                 ts.pop()  # dots may mark a cut: the word before them ends nothing
-        before, key = "", ""
-        for i in range(len(ts) - 1):
-            w = ts[i]
-            if w[0] in _ENDS:
-                before = key = w
-                continue
-            low = w.lower()
-            now = "<n>" if _name_like(w, before) else low
-            end = ts[i + 1][0] in _ENDS
-            pair = f"{key} {now}"
-            n[low] += 1
-            n[pair] += 1
-            if end:
-                ends[low] += 1
-                ends[pair] += 1
-            if now == "<n>":
-                names[key] += 1
-            before, key = w, now
+        if len(ts) < 2:
+            continue
+        low = list(map(str.lower, ts))
+        mark = [w[0] in _ENDS for w in ts]
+        # a word as the context of the next: itself, a name, or the terminator
+        now = ["<n>" if i and not mark[i - 1] and _name_like(w, ts[i - 1]) else low[i] for i, w in enumerate(ts)]
+        at = [i for i in range(len(ts) - 1) if not mark[i]]
+        keys = ["", *now]
+        pairs = [f"{keys[i]} {now[i]}" for i in at]
+        n.update([low[i] for i in at])
+        n.update(pairs)
+        ends.update([low[i] for i in at if mark[i + 1]])
+        ends.update([p for p, i in zip(pairs, at) if mark[i + 1]])
+        names.update([keys[i] for i in at if now[i] == "<n>"])
     return {k: [c, ends[k], names[k]] for k, c in n.items()}
 
 
-def _endings(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+_END_COLUMNS = "source string, chars long, bytes long, ended boolean, blank boolean, open string, w3 string, w2 string, w1 string, hanging boolean, dotted boolean, kind string, closed array<string>"
+_FACT_COLUMNS = "word string, n long, ends long, names long"
+
+
+def _read_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """One pass over the texts: a row per text with its ending, and rows of word facts (`word` not null), added up within a batch."""
     kind = df.schema[key].dataType.simpleString()
+    none = ("", "", "", "", False, False, "", [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            texts = b.column(1).to_pylist()
+            for t, s in zip(texts, b.column(2).to_pylist()):
                 blank = not t or not t.strip()
                 e = ending(t)
-                raw = len(t.encode("utf-8", "surrogatepass")) if t else 0
-                rows.append((i, s or "", len(t) if t else 0, raw, not blank and e is None, blank, *(e or ("", "", "", "", False, False))))
-            cols = list(zip(*rows)) if rows else [[]] * 12
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.bool_())]
-                + [pa.array(cols[6 + k], pa.string()) for k in range(4)] + [pa.array(cols[10 + k], pa.bool_()) for k in range(2)],
-                ["k", "source", "chars", "bytes", "ended", "blank", "open", "w3", "w2", "w1", "hanging", "dotted"],
-            )
-
-    fields = f"k {kind}, source string, chars long, bytes long, ended boolean, blank boolean, open string, w3 string, w2 string, w1 string, hanging boolean, dotted boolean"
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")).mapInArrow(run, fields)
-
+                raw = len(t.encode("utf-8", "surrogatepass")) if t and not t.isascii() else len(t or "")
+                if e is None and t:  # what it closes counts for the baseline of its source all the same
+                    rows.append((s or "", len(t), raw, not blank, blank, *none[:-1], sorted(still_open(t)[1])))
+                else:
+                    rows.append((s or "", len(t) if t else 0, raw, False, blank, *(e or none)))
+            m, f = len(rows), _facts(texts)
+            facts = list(zip(*f.values())) or [[], [], []]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.string()] * 4, pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string())]
+            cols = list(zip(*rows)) if rows else [[]] * len(types)
+            out = [pa.array([*b.column(0).to_pylist(), *[None] * len(f)], b.column(0).type)]
+            out += [pa.array([*c, *[None] * len(f)], x) for c, x in zip(cols, types)]
+            out += [pa.array([*[None] * m, *f], pa.string()), *(pa.array([*[None] * m, *x], pa.int64()) for x in facts)]
+            yield pa.RecordBatch.from_arrays(out, ["k", *(c.split()[0] for c in (_END_COLUMNS + ", " + _FACT_COLUMNS).split(", "))])
 
-def word_facts(df: DataFrame, text: str) -> DataFrame:
-    """`word`, `n`, `ends`, `names` over all texts, added up within each batch before the shuffle."""
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")).mapInArrow(run, f"k {kind}, {_END_COLUMNS}, {_FACT_COLUMNS}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = _facts(b.column(0).to_pylist())
-            v = list(zip(*f.values())) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.string()), *(pa.array(x, pa.int64()) for x in v)], ["word", "n", "ends", "names"])
 
-    return df.select(text).mapInArrow(run, "word string, n long, ends long, names long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("names").alias("names"))
+def _usually_closed(ends: DataFrame) -> DataFrame:
+    """`source`, `kind`: quotes and tags that the texts of a source close at least three times of four; of a source with fewer than eight of the kind all sources decide."""
+    seen = ends.select("source", F.explode("closed").alias("kind"), F.lit(1).alias("c"), F.lit(0).alias("o")).unionByName(ends.where("kind <> ''").select("source", "kind", F.lit(0).alias("c"), F.lit(1).alias("o")))
+    own = seen.groupBy("source", "kind").agg(F.sum("c").alias("c"), F.sum("o").alias("o"))
+    every = own.groupBy("kind").agg(F.sum("c").alias("ac"), F.sum("o").alias("ao"))
+    few = F.col("c") + F.col("o") < 8
+    return own.join(every, "kind").where(F.when(few, F.col("ac") >= 3 * F.col("ao")).otherwise(F.col("c") >= 3 * F.col("o"))).select("source", "kind")
 
 
 def field_limits(ends: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
@@ -215,8 +286,13 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the automaton finds something open.  Repeated rows come out each time;
     a null source counts as the source ''.
     """
-    ends = keep(_endings(df, key, text, source).withColumn("_row", F.monotonically_increasing_id()))
-    facts = keep(word_facts(df, text))
+    read = keep(_read_texts(df, key, text, source).withColumn("_row", F.monotonically_increasing_id()))
+    ends = read.where("word is null").drop("word", "n", "ends", "names")
+    facts = keep(read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("names").alias("names")))
+    # an open quote or tag that its source does not usually close says nothing
+    closing = _usually_closed(ends).withColumn("_closing", F.lit(True))
+    left_open = ends.where("kind <> ''").join(closing, ["source", "kind"], "left").withColumn("open", F.when(F.col("_closing"), F.col("open")).otherwise("")).select(*ends.columns)
+    ends = ends.where("kind = ''").unionByName(left_open)
     # how often words that begin with these letters occur
     begun = facts.where("n >= 3 and word not like '% %' and length(word) > 1").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.concat(F.lit("^"), F.substring(F.col("word"), F.lit(1), i)))).alias("word"))
     facts = facts.unionByName(begun.groupBy("word").agg(F.sum("n").alias("n")).withColumns({"ends": F.lit(0).cast("long"), "names": F.lit(0).cast("long")}))
@@ -237,19 +313,27 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     reach = limits.where("unit = 'chars'").select("source", F.explode(F.sequence(F.col("size") - _MARK_ROOM, F.col("size"))).alias("chars"), "size").groupBy("source", "chars").agg(F.max(F.col("chars") == F.col("size")).alias("_at_chars"))
     # a character that the limit would split is dropped whole
     exact = limits.where("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("bytes")).distinct().withColumn("_at_bytes", F.lit(True))
-    j = doubtful.join(known, "_row", "left")
+    j = keep(doubtful.join(known, "_row", "left"))
     n = lambda w, f: F.coalesce(F.col(w)[f], F.lit(0))
     slot = (n("p", "names") / F.greatest(n("p", "n"), F.lit(1)) > 0.3) | is_name("w1", "w2")
-    rare = F.col("w1").rlike(r"^\p{N}+$")
-    reason = (
-        F.when(F.col("hanging"), "hanging")
-        .when(rare, "")
-        .when((n("w", "n") == 0) | ((n("w", "n") < 3) & (n("b", "n") == 0)), F.when(~slot & (n("x", "n") >= 3), "word").when(slot & (n("m", "n") >= 10) & (n("m", "ends") < seldom * n("m", "n")), "sentence").otherwise(""))
-        .when(n("b", "n") >= 5, F.when(n("b", "ends") < seldom * n("b", "n"), "sentence").otherwise(""))
-        .when(n("w", "ends") < seldom * n("w", "n"), "sentence")
-        .otherwise("")
-    )
-    tested = j.withColumn("reason", reason).select("k", "source", "chars", "bytes", "dotted", "reason")
+
+    def reason(seldom: Column) -> Column:
+        return (
+            F.when(F.col("hanging"), "hanging")
+            .when(F.col("w1").rlike(r"^\p{N}+$"), "")
+            .when((n("w", "n") == 0) | ((n("w", "n") < 3) & (n("b", "n") == 0)), F.when(~slot & (n("x", "n") >= 3), "word").when(slot & (n("m", "n") >= 10) & (n("m", "ends") < seldom * n("m", "n")), "sentence").otherwise(""))
+            .when(n("b", "n") >= 5, F.when(n("b", "ends") < seldom * n("b", "n"), "sentence").otherwise(""))
+            .when(n("w", "ends") < seldom * n("w", "n"), "sentence")
+            .otherwise("")
+        )
+
+    # the baseline of a source: of its texts without a terminator, how many are plainly cut and how many plainly whole
+    plain = j.groupBy("source").agg(F.sum((reason(F.lit(seldom)) != "").cast("double")).alias("c"), F.count(F.lit(1)).alias("a"))
+    all_cut, everything = (x or 0 for x in plain.agg(F.sum("c"), F.sum("a")).first())
+    odds = lambda c, a: (c + 0.5) / (a - c + 0.5)
+    own = odds(F.col("c") + 20 * all_cut / max(1, everything), F.col("a") + 20) / odds(all_cut, everything)
+    base = plain.select("source", (seldom * F.least(F.lit(2.0), F.greatest(F.lit(0.5), own))).alias("_seldom"))
+    tested = j.join(base, "source").withColumn("reason", reason(F.col("_seldom"))).select("k", "source", "chars", "bytes", "dotted", "reason")
     rest = ends.where("blank or ended or open <> '' or w1 = ''").select("k", "source", F.col("open").alias("reason"))
     # the field limit decides for texts that might be whole by their last word
     limited = tested.join(reach, ["source", "chars"], "left").join(exact, ["source", "bytes"], "left")

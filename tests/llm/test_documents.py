@@ -120,7 +120,8 @@ def test_proportions(spark):
 @pytest.mark.parametrize("text, found", [
     ("all is well.", ""), ("broken é�", "character"), ("see https://wiki", "link"), ("see https://wiki.example/Page?id=12", ""), ("an &am", "entity"), ("an &amp; b", ""),
     ("<b>bold</b> <i", "markup"), ("<b>x</b>", ""), ("a < b", ""), ("was here (as Fo", "bracket"), ("fine (really)", ""), ("smile :)", ""), ("sad :( but fine", ""), ("stops [...]", "mark"), ("stops […]", "mark"), ("cited [1]", ""),
-    ("caf\\u00", "escape"), ("", ""), ("   ", ""),
+    ("caf\\u00", "escape"), ("", ""), ("   ", ""), ("He said «this is not the end", "quote"), ('She wrote "we will not agree', "quote"), ("<b>bold never closed", "markup"), ("(he said «no» and then", "bracket"), ('he left (and said "no', "bracket"),
+    ('he said "no" and left', ""), ('odd end"', ""), ("„so“ wird es", ""), ("He said «all is done.", ""), ("a <" + "x" * 300, "markup"), ("<br> fine", ""), ('5" wide', ""),
 ])
 def test_open_at_end(text, found):
     assert C.open_at_end(text) == found
@@ -139,13 +140,26 @@ def test_truncated(spark):
     assert C.judged(df.limit(0)).count() == 0
 
 
+def test_quotes_count_where_they_are_closed(spark):
+    whole = [(i, 'They said "the change is fine" and left it' if s == "strict" else 'They said "the change is fine and left it', s) for s in ("strict", "loose") for i in range(20)]
+    df = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(whole)] + [(100, 'They wrote "the change is fine', "strict"), (101, 'They wrote "the change is fine', "loose")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.reason for r in C.judged(df).collect()}
+    assert got[100] == "quote" and got[101] != "quote" and not any(got[i] == "quote" for i in range(20))
+
+
+def test_facts_by_hand():
+    f = C._facts(["The end. He saw Anna today.", None, "", "Stop here...", "he saw"])
+    assert f["end"] == [1, 1, 0] and f["saw"] == [1, 0, 1] and f["saw <n>"] == [1, 0, 0] and f["today"] == [1, 1, 0] and f["<n> today"] == [1, 1, 0]
+    assert f["stop"] == [1, 0, 0] and "here" not in f and f["he"] == [2, 0, 0]
+
+
 def test_field_limit(spark):
     words = "The old version was better before the change in spring. You should check it first!".split(" ")
     rnd = random.Random(3)
     texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(40)]
     rows = [(i, t[:100] if i % 2 else t[: 60 + 3 * i] + " in spring.", "sms") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    limits = C.field_limits(C._endings(df, "doc_id", "text", "source")).collect()
+    limits = C.field_limits(C._read_texts(df, "doc_id", "text", "source").where("word is null")).collect()
     assert {(r.unit, r.size) for r in limits} >= {("chars", 100)}
 
 
