@@ -99,19 +99,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(spark, _documents(spark, d))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     specs = table(spark, d, "pack_spec")
     names = [r[0] for r in specs.select("tokenizer").distinct().collect() if r[0]]  # names of installed vocabularies
     sizes = keep(tokens.lengths(spark, _documents(spark, d), names))
-    return packing.packed(spark, sizes, specs)
+    return sizes, specs
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d)
+    return packing.packed(spark, *_items(spark, d))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(_packed(spark, d))
+    items = _items(spark, d)
+    return packing.fill(packing.packed(spark, *items), packing.packed(spark, *items, shares=(1.0,)))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -83,6 +83,8 @@ def test_packing(spark):
     assert len(used) <= sum(sizes.values()) / 128 * 1.02 + 4
     f = P.fill(out).first()
     assert f.tokens == sum(sizes.values()) and f.used > 0.98
+    both = P.fill(out, P.packed(spark, items, specs, key="k", block_rows=400, shares=(1.0,))).first()
+    assert both.cost <= both.single_cost and both.sizes >= 1
     assert P.packed(spark, items.limit(0), specs, key="k").count() == 0
 
 
@@ -99,6 +101,33 @@ def test_best_fit(sizes):
         assert c == min(a for a in allowed if a >= load.get(k, 0))
 
 
+def cost(final, capacity):
+    return sum(final) + P.OVERHEAD * capacity * len(final)
+
+
+def test_two_sizes_beat_every_single_one():
+    sizes = [70] * 100 + [45] * 100 + [30] * 30
+    _, mixed = P.best_fit(sizes, 100, (1.0, 0.75))
+    singles = []
+    for c in (75, 100):
+        _, opened, _ = P.placed(sizes, 100, [c])
+        singles.append(cost(opened, 100))
+    assert set(mixed) == {75, 100} and cost(mixed, 100) < min(singles)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_never_dearer_than_one_size(sizes):
+    _, mixed = P.best_fit(sizes, 64)
+    _, one = P.best_fit(sizes, 64, (1.0,))
+    assert cost(mixed, 64) <= cost(one, 64) + 1e-6
+
+
+def test_look_ahead_fills_from_the_histogram():
+    left = {5: 2, 3: 1, 1: 0}
+    assert P._filled(20, 6, left, (1 << 5) | (1 << 3)) == 19 and P._filled(6, 6, left, 1 << 5) == 6 and P._filled(9, 6, {}, 0) == 6
+
+
 def test_proportions(spark):
     rows = [(i, "en" if i % 3 else "tr", int(i % 20 == 0), 0) for i in range(3000)] + [(9000 + i, None, 1, 0) for i in range(50)] + [(9900, "en", None, 0)]
     df = spark.createDataFrame(rows, "row_id long, lang string, threat int, identity_hate int")
