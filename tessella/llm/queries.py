@@ -69,6 +69,10 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(_split(spark, d).select("row_id", "comment_text")).select("row_id", "look")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_classes(_split(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.found(spark, _split(spark, d))
 
@@ -123,7 +127,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(_documents(spark, d)))
 
 
-_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p5_found, p5_overlaps, p5_members, p5_links, p5_report, p5_sources, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
+_QUERIES = [p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_report, p3_sample, p4_found, p4_normalised, p4_classes, p5_found, p5_overlaps, p5_members, p5_links, p5_report, p5_sources, p6_ids, p7_packed, p7_fill, p8_found, p8_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

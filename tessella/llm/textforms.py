@@ -20,6 +20,12 @@ LOOKALIKES = [
     "aа", "cс", "eе", "hһ", "iі", "jј", "oо", "oο", "pр", "sѕ", "vν", "xх", "yу", "dԁ", "qԛ", "wԝ",
 ]
 
+# Further letters of one shape, which only the look counts (no script is told by them).
+MORE_LOOKALIKES = [
+    "aα", "aɑ", "cϲ", "cᴄ", "gɡ", "iι", "jϳ", "kκ", "lӏ", "oᴏ", "pρ", "uυ", "uᴜ", "vѵ", "vᴠ", "wԝ", "wᴡ", "xχ", "yү", "yγ", "zᴢ",
+    "CϹ", "JͿ", "QԚ", "VѴ", "WԜ", "æӕ", "ÆӔ",
+]
+
 # Invisible characters: soft hyphen, grapheme joiner, zero-width and joiner
 # characters, direction and byte-order marks, variation selectors.
 _INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F),
@@ -31,7 +37,20 @@ _PLAIN |= {c: 0x20 for c in _SPACES}
 _PLAIN |= {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 _TO_LATIN = {ord(x[1]): ord(x[0]) for x in LOOKALIKES}
-_PROTOTYPE = _PLAIN | _TO_LATIN
+_PROTOTYPE = _PLAIN | _TO_LATIN | {ord(x[1]): ord(x[0]) for x in MORE_LOOKALIKES}
+
+
+def _forms() -> dict[int, str]:
+    """Wide forms, letters of mathematical and other fonts, ligatures and Roman numerals, by their decompositions."""
+    out = {}
+    for c in (*range(0x2100, 0x2190), *range(0xFB00, 0xFB07), *range(0xFFE0, 0xFFE7), *range(0x1D400, 0x1D800)):
+        kind = unicodedata.decomposition(chr(c)).split(" ")[0]
+        if kind in ("<font>", "<wide>") or kind == "<compat>" and (c >= 0xFB00 or 0x2160 <= c < 0x2180):
+            out[c] = unicodedata.normalize("NFKD", chr(c)).translate(_PROTOTYPE)
+    return out
+
+
+_PROTOTYPE |= _forms()
 
 
 def _is_cyrillic(c: int) -> bool:
