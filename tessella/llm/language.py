@@ -1,14 +1,17 @@
 """Problem 1: the language of each document and of each stretch of a mixed one, with a confidence.
 
 Hierarchical discrimination: linear support vector machines first tell the
-language family (one against the rest), then, within the family, one-versus-one
-machines separate the closely related languages.  All machines are linear in
+language family (one against the rest, the largest margin wins), then, within
+that family only, one-versus-one machines separate the closely related
+languages by their votes.  All machines are linear in
 the mean of word vectors (word identity and character n-grams), so a word's
 eleven-or-so scores are computed once a worker and a sentence is a mean.
 
 The classifier is fitted here, on a bounded sample of rows that carry a label
 (`per_label` rows a language); wrong labels in the sample are outvoted by a
-naive Bayes pass over the same sample before the machines are fitted.
+naive Bayes pass over the same sample before the machines are fitted.  Every
+tenth sentence is held out, and the confidence is fitted to those: the one
+factor of the scores that makes it likeliest.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ ROMANISED = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъы
 _STOP_RE = re.compile(r"[.!?…。！？．]+|\n+")
 #: A sentence of n words needs 1 + _EXTRA / n times the margin.
 _EXTRA = 6.0
+_STRETCH = 6
 SHORTEST = 5  # words of a sentence that counts
 
 
@@ -61,7 +65,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def grams(word: str) -> list[str]:
     """Character n-grams of two to four characters of a word with its ends marked."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
 
 
@@ -77,7 +81,7 @@ class Model:
     """The fitted machines: weights of words and n-grams, one column a machine."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, languages: list[str]):
-        self.index, self.weights, self.bias, self.languages = index, weights, bias, languages
+        self.index, self.weights, self.bias, self.languages, self.factor = index, weights, bias, languages, 3.0
         self.families = [f for f in FAMILIES if any(x in languages for x in FAMILIES[f])]
         self.pairs = [p for f in self.families for p in combinations([x for x in FAMILIES[f] if x in languages], 2)]
 
@@ -101,20 +105,28 @@ class Model:
         return out
 
     def scores(self, machines: np.ndarray) -> np.ndarray:
-        """Score of each language from the machines' outputs: its family's margin plus its mean margin within the family."""
+        """Score of each language from the machines' outputs, greatest for the winner of the family with the largest margin.
+
+        The winner within a family has the family's margin; the others lag by
+        what they are behind in the family's votes.
+        """
         out = np.zeros((len(machines), len(self.languages)), np.float32)
         nf = len(self.families)
-        for k, f in enumerate(self.families):
-            for x in FAMILIES[f]:
-                if x in self.languages:
-                    out[:, self.languages.index(x)] = machines[:, k]
-        within = np.zeros_like(out)
+        votes = np.zeros_like(out)
         for k, (a, b) in enumerate(self.pairs):
             n = len([x for x in FAMILIES[next(f for f in self.families if a in FAMILIES[f])] if x in self.languages]) - 1
             m = np.clip(machines[:, nf + k], -2, 2) / n
-            within[:, self.languages.index(a)] += m
-            within[:, self.languages.index(b)] -= m
-        return out + within
+            votes[:, self.languages.index(a)] += m
+            votes[:, self.languages.index(b)] -= m
+        for k, f in enumerate(self.families):
+            mine = [self.languages.index(x) for x in FAMILIES[f] if x in self.languages]
+            out[:, mine] = machines[:, k : k + 1] + votes[:, mine] - votes[:, mine].max(1, keepdims=True)
+        return out
+
+    def confidence(self, scores: np.ndarray) -> np.ndarray:
+        """Probability of each language."""
+        e = np.exp(self.factor * (scores - scores.max(1, keepdims=True)))
+        return e / e.sum(1, keepdims=True)
 
 
 def _svm(x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, reg: float = 1e-4, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -193,13 +205,15 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 500) -> Model:
     use = [x for x in LANGUAGES if len(taken[x]) >= 2]
     examples: list[tuple[int, list[str]]] = []
     for x in use:
-        for s in taken[x]:
+        # of each sentence also a short stretch, so that short sentences are told apart as well
+        for s in [y for k, s in enumerate(taken[x]) for y in ((s, s[k % (len(s) - _STRETCH) :][:_STRETCH]) if len(s) > _STRETCH + 2 else (s,))]:
             examples.append((use.index(x), s))
             bare = [_without_accents(w) for w in s]
             if bare != s:
                 examples.append((use.index(x), bare))
             if x == "ru" and any("а" <= c <= "я" for c in s[0]):
                 examples.append((use.index(x), [_romanised(w) for w in s]))
+    held, examples = examples[::10], [x for k, x in enumerate(examples) if k % 10]
     vocabulary_ids: dict[str, int] = {}
     rows = [[vocabulary_ids.setdefault(w, len(vocabulary_ids)) for w in s] for _, s in examples]
     spelled = list(vocabulary_ids)
@@ -235,9 +249,25 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 500) -> Model:
         machines.append(_svm((renumber[r[part]], c[part], v[part]), len(index), np.where(lang[keep] == use.index(a), 1.0, -1.0)))
     model.weights = np.stack([w for w, _ in machines], 1).astype(np.float32)
     model.bias = np.array([b for _, b in machines], np.float32)
+    scores = model.scores(_machines(model, [], [w for _, t in held for w in t], np.array([len(t) for _, t in held]))[0])
+    truth = np.arange(len(held)), [k for k, _ in held]
+
+    def loss(factor: float) -> float:
+        model.factor = factor
+        return -float(np.log(np.maximum(model.confidence(scores)[truth], 1e-9)).mean())
+
+    model.factor = min((1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0), key=loss)
     return model
 
 
+def fitted(labelled: list[tuple[str, str]]) -> Model | None:
+    """The model, or None where the labels do not suffice for one."""
+    try:
+        return fit(labelled)
+    except ValueError:
+        return None
+
+
 def labelled_sample(df: DataFrame, text: str = "comment_text", lang: str = "lang", key: str = "row_id", per_label: int = 400) -> list[tuple[str, str]]:
     """At most about `per_label` rows of each label, chosen by the hash of the key: the documented bound of the training sample."""
     rows = df.select(base_code(F.col(lang)).alias("x"), F.col(text).alias("t"), F.col(key).alias("k")).where(F.col("x").isin(*LANGUAGES) & (F.length("t") >= 20))
@@ -249,14 +279,14 @@ def labelled_sample(df: DataFrame, text: str = "comment_text", lang: str = "lang
         share = F.when(F.col("x") == x, F.lit(min(1.0, per_label / n))).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(1_000_003)) / 1_000_003.0 < share)
     # the share makes about per_label rows; the limit is the proven bound of what reaches the driver
-    return [(r[0], r[1]) for r in drawn.select("x", F.substring("t", 1, 5000).alias("t")).limit(2 * per_label * len(LANGUAGES)).collect()]
+    return [(r[0], r[1]) for r in drawn.select("x", "t").limit(2 * per_label * len(LANGUAGES)).collect()]
 
 
 _MOST_WORDS = 300_000
 
 
-def _machines(model: Model, cache: list, flat: list[str], lens: np.ndarray) -> np.ndarray:
-    """Outputs of all machines for sentences given as one list of words and their lengths."""
+def _machines(model: Model, cache: list, flat: list[str], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs of all machines for sentences given as one list of words and their lengths, and the row of each word in the vectors `cache[1]`."""
     if cache and len(cache[0]) > _MOST_WORDS:
         cache.clear()
     if not cache:
@@ -271,22 +301,53 @@ def _machines(model: Model, cache: list, flat: list[str], lens: np.ndarray) -> n
         for at in range(0, len(new), 5000):
             vectors[start + at : start + at + 5000][: len(new) - at] = model.word_vectors(new[at : at + 5000])
     if not flat:
-        return np.zeros((0, len(model.bias)), np.float32)
+        return np.zeros((0, len(model.bias)), np.float32), np.zeros(0, np.int64)
     at = np.fromiter((ids[w] for w in flat), np.int64, len(flat))
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    return np.add.reduceat(vectors[at], starts, axis=0) / lens[:, None] + model.bias
+    return np.add.reduceat(vectors[at], starts, axis=0) / lens[:, None] + model.bias, at
+
+
+def _switches(model: Model, vectors: np.ndarray, at: np.ndarray, lens: np.ndarray, margin: float) -> dict[int, int]:
+    """Of sentences in two languages, after how many words the language switches.
+
+    Looked at are sentences whose first and last five words are told apart;
+    both sides must be ahead in their own language as a sentence must be.
+    """
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    long = np.flatnonzero(lens >= 2 * SHORTEST)
+    if not len(long):
+        return {}
+    five = np.arange(SHORTEST)
+    heads, tails = ((vectors[at[(s[long])[:, None] + five]]).mean(1) + model.bias for s in (starts, starts + lens - SHORTEST))
+    out = {}
+    for j in long[model.scores(heads).argmax(1) != model.scores(tails).argmax(1)].tolist():
+        n = int(lens[j])
+        sums = np.cumsum(vectors[at[starts[j] : starts[j] + n]], axis=0)
+        k = np.arange(SHORTEST, n - SHORTEST + 1)
+        before = model.scores(sums[k - 1] / k[:, None] + model.bias)
+        after = model.scores((sums[-1] - sums[k - 1]) / (n - k)[:, None] + model.bias)
+        a, b, r = before.argmax(1), after.argmax(1), np.arange(len(k))
+        ahead, behind = before[r, a] - before[r, b], after[r, b] - after[r, a]
+        best = int((k * ahead + (n - k) * behind).argmax())
+        if ahead[best] > margin * (1 + _EXTRA / k[best]) and behind[best] > margin * (1 + _EXTRA / (n - k[best])):
+            out[j] = int(k[best])
+    return out
 
 
-def segments(spark: SparkSession, df: DataFrame, model: Model, key: str = "row_id", text: str = "comment_text", margin: float = 0.6) -> DataFrame:
+def segments(spark: SparkSession, df: DataFrame, model: Model | None, key: str = "row_id", text: str = "comment_text", margin: float = 0.6) -> DataFrame:
     """One row per stretch of one language: `key`, `segment`, `words`, `longest`, `language`, `confidence`.
 
     A sentence takes the language of the whole comment unless another scores
     higher by more than `margin`, and more the shorter it is; a sentence of
     under five words always does.
-    Neighbouring sentences of one language make one segment; `longest` is the
-    number of words of its longest sentence.  Texts without a word (null, empty,
-    blank, only signs) give one row with language and confidence null.
+    A sentence that switches its language, with five words or more on either
+    side, is two stretches.  Neighbouring stretches of one language make one
+    segment; `longest` is the number of words of its longest whole sentence.  Texts without a word (null, empty,
+    blank, only signs) give one row with language and confidence null, and so
+    does every row where there is no model (too few labels to fit one).
     """
+    if model is None:
+        return df.select(key, F.lit(0).alias("segment"), F.lit(0).alias("words"), F.lit(0).alias("longest"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"))
     shared = spark.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 
@@ -312,7 +373,16 @@ def _segmented(model: Model, cache: list, b: pa.RecordBatch, margin: float) -> p
             owner.append(r)
     n = np.array(lens, np.int64)
     own = np.array(owner, np.int64)
-    scores = model.scores(_machines(model, cache, flat, n)) if len(n) else np.zeros((0, len(model.languages)), np.float32)
+    whole = n
+    if len(n):
+        outputs, at = _machines(model, cache, flat, n)
+        if cut := _switches(model, cache[1], at, n, margin):
+            parts = [(j, k) for j, x in enumerate(lens) for k in ((cut[j], x - cut[j]) if j in cut else (x,))]
+            own = own[[j for j, _ in parts]]
+            n = np.array([k for _, k in parts], np.int64)
+            whole = np.array([0 if j in cut else k for j, k in parts], np.int64)
+            outputs = np.add.reduceat(cache[1][at], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None] + model.bias
+    scores = model.scores(outputs) if len(n) else np.zeros((0, len(model.languages)), np.float32)
     # the whole comment: mean over its words
     total = np.zeros((b.num_rows, len(model.languages)))
     np.add.at(total, own, scores * n[:, None])
@@ -327,11 +397,10 @@ def _segmented(model: Model, cache: list, b: pa.RecordBatch, margin: float) -> p
     first = np.flatnonzero(new)
     if len(first):
         seg_words = np.add.reduceat(n, first)
-        seg_long = np.maximum.reduceat(n, first)
+        seg_long = np.maximum.reduceat(whole, first)
         seg_scores = np.add.reduceat(scores * n[:, None], first, axis=0) / seg_words[:, None]
         seg_own, seg_lang = own[first], chosen[first]
-        e = np.exp(3.0 * (seg_scores - seg_scores.max(1, keepdims=True)))
-        conf = e[np.arange(len(first)), seg_lang] / e.sum(1)
+        conf = model.confidence(seg_scores)[np.arange(len(first)), seg_lang]
         starts = np.ones(len(first), bool)
         starts[1:] = seg_own[1:] != seg_own[:-1]
         number = np.arange(len(first)) - np.maximum.accumulate(np.where(starts, np.arange(len(first)), 0))
@@ -349,7 +418,7 @@ def _segmented(model: Model, cache: list, b: pa.RecordBatch, margin: float) -> p
     )
 
 
-def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str = "lang", doubt: float = 0.6) -> DataFrame:
+def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str = "lang", doubt: float = 0.9) -> DataFrame:
     """`key`, `true_lang`: comments of one language whose label names another or none, and every language of a mixed comment.
 
     `found` is the result of `segments`.  Only languages with a sentence of
@@ -358,8 +427,8 @@ def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str
     and a stretch does not make a comment mixed.
     Repeated keys are taken as one comment.
     """
-    per = found.where("language is not null").groupBy(key).agg(F.sum("words").alias("words"), F.collect_set(F.when((F.col("longest") >= SHORTEST) & (F.col("confidence") >= doubt), F.col("language"))).alias("long"), F.max_by("language", "words").alias("main"), F.max_by("confidence", "words").alias("sure"))
-    labels = df.select(key, base_code(F.col(lang)).alias("_label")).groupBy(key).agg(F.first("_label").alias("_label"))
-    mixed = per.where("size(long) >= 2").select(key, F.explode("long").alias("true_lang"))
-    single = per.where("size(long) < 2 and words >= 5").join(labels, key).where(~F.col("_label").eqNullSafe(F.col("main")) & ((F.col("sure") >= doubt) | ~F.coalesce(F.col("_label").isin(*LANGUAGES), F.lit(False)))).select(key, F.col("main").alias("true_lang"))
-    return mixed.unionByName(single)
+    per = found.where("language is not null").groupBy(key).agg(F.sum("words").alias("words"), F.collect_set(F.when((F.col("longest") >= SHORTEST) & (F.col("confidence") >= doubt), F.col("language"))).alias("long"), F.max_by("language", F.struct("words", "language")).alias("main"), F.max_by("confidence", F.struct("words", "language")).alias("sure"))
+    labels = df.select(key, base_code(F.col(lang)).alias("_label")).groupBy(key).agg(F.min("_label").alias("_label"))
+    wrong = (F.col("words") >= SHORTEST) & ~F.col("_label").eqNullSafe(F.col("main")) & ((F.col("sure") >= doubt) | ~F.coalesce(F.col("_label").isin(*LANGUAGES), F.lit(False)))
+    true = F.when(F.size("long") >= 2, F.col("long")).when(wrong, F.array("main"))
+    return per.join(labels, key).select(key, F.explode(true).alias("true_lang"))

@@ -28,7 +28,7 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     split = _split(spark, d)
-    return language.segments(spark, split, language.fit(language.labelled_sample(split)))
+    return language.segments(spark, split, language.fitted(language.labelled_sample(split)))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

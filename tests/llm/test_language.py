@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,36 @@ def test_languages_and_segments(spark, model):
     assert all(0 < c <= 1 for k in (0, 1, 5) for _, c in got[k])
 
 
+def test_family_first():
+    m = L.Model({}, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), list(L.LANGUAGES))
+    out = np.full((1, len(m.families) + len(m.pairs)), -1.0, np.float32)
+    out[0, m.families.index("Slavic")], out[0, m.families.index("Romance")] = 0.9, 0.3
+    for k, (a, b) in enumerate(m.pairs):
+        out[0, len(m.families) + k] = 2.0 if a == "es" else -2.0 if b == "es" else 0.0
+    s = m.scores(out)[0]
+    assert m.languages[s.argmax()] == "ru"
+    out[0, m.families.index("Romance")] = 1.0
+    s = m.scores(out)[0]
+    assert m.languages[s.argmax()] == "es" and abs(s.max() - 1.0) < 1e-6 and abs(m.confidence(s[None]).sum() - 1) < 1e-6
+
+
+def test_switch_within_a_sentence(spark, model):
+    t = f"{TEXTS['en'][1]} {TEXTS['ru'][3]}"
+    _, s = run(spark, model, [t, TEXTS["en"][1] + " and also " + TEXTS["en"][2]])
+    got = {}
+    for r in s.orderBy("row_id", "segment").collect():
+        got.setdefault(r.row_id, []).append((r.language, r.words, r.longest))
+    assert [x[0] for x in got[0]] == ["en", "ru"] and sum(x[1] for x in got[0]) == len(t.split()) and [x[2] for x in got[0]] == [0, 0]
+    assert [x[0] for x in got[1]] == ["en"]
+
+
+def test_no_labels(spark):
+    df = spark.createDataFrame([(1, TEXTS["en"][0], None), (2, None, "en")], "row_id long, comment_text string, lang string")
+    s = L.segments(spark, df, L.fitted(L.labelled_sample(df)))
+    assert [(r.language, r.confidence) for r in s.collect()] == [(None, None)] * 2 and L.mislabelled(df, s).count() == 0
+    assert L.mislabelled(df.limit(0), L.segments(spark, df.limit(0), None)).count() == 0
+
+
 def test_mislabelled(spark, model):
     en, es = TEXTS["en"][1], TEXTS["es"][1]
     texts = [en, en, en, en, en, f"{en}. {es}", "hola", en + ". a la page", None]
