@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
@@ -53,8 +53,6 @@ def sample(rows: DataFrame, targets: DataFrame, category: list[str], key: str =
         per_bucket = drawn.groupBy(plan, *category, "bucket").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.first("available").alias("available"), F.first("p").alias("p"))
         per_bucket = keep(per_bucket)
         # at most _BUCKETS rows a category: a window over counts, not over rows
-        from pyspark.sql import Window
-
         w = Window.partitionBy(plan, *category).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         bounds = per_bucket.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < needed")
         got = per_bucket.groupBy(plan, *category).agg(F.sum("n").alias("n"), F.first("needed").alias("needed"), F.first("available").alias("available"))
@@ -63,9 +61,14 @@ def sample(rows: DataFrame, targets: DataFrame, category: list[str], key: str =
             break
         again = short.select(plan, *category, F.lit(True).alias("_again"))
         have = keep(have.join(again, [plan, *category], "left").withColumn("p", F.when(F.col("_again"), F.least(F.lit(1.0), F.col("p") * 2)).otherwise(F.col("p"))).drop("_again"))
-    from pyspark.sql import Window
-
     marked = drawn.join(bounds.select(plan, *category, "bucket", "before", "n"), [plan, *category, "bucket"])
     whole = marked.where("before + n <= needed").select(plan, *category, key)
     edge = marked.where("before + n > needed").withColumn("_r", F.row_number().over(Window.partitionBy(plan, *category, "bucket").orderBy("u", key)))
     return whole.unionByName(edge.where("before + _r <= needed").select(plan, *category, key))
+
+
+def report(rows: DataFrame, targets: DataFrame, category: list[str], key: str = "row_id", plan: str = "plan_id") -> DataFrame:
+    """Per row of `targets`: rows `available`, `needed` and `sampled`, and the `deficit` of the sample drawn (0 where the target was met)."""
+    drawn = sample(rows, targets, category, key, plan).groupBy(plan, *category).agg(F.count(F.lit(1)).alias("_s"))
+    j = availability(rows, targets, category, plan).drop("deficit").join(drawn, [plan, *category], "left").withColumn("sampled", F.coalesce("_s", F.lit(0)).cast("long"))
+    return j.select(plan, *category, "available", "needed", "sampled", (F.col("needed") - F.col("sampled")).alias("deficit"))

@@ -49,12 +49,11 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    report = proportions.availability(_train(spark, d), table(spark, d, "target_mix"), _CATEGORY)
-    return report.where("deficit > 0").select("plan_id", *_CATEGORY)
+    return p3_report(spark, d).where("deficit > 0").select("plan_id", *_CATEGORY)
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.availability(_train(spark, d), table(spark, d, "target_mix"), _CATEGORY)
+    return proportions.report(_train(spark, d), table(spark, d, "target_mix"), _CATEGORY)
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:

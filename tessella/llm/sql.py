@@ -6,6 +6,7 @@ _REPORT = """
 WITH have AS (SELECT lang, threat, identity_hate, count(*) AS n FROM split WHERE split = 'train' GROUP BY ALL)
 SELECT t.plan_id, t.lang, t.threat, t.identity_hate, coalesce(h.n, 0)::BIGINT AS available,
        greatest(t.min_rows, round(t.share * t.sample_rows)::BIGINT) AS needed,
+       least(greatest(t.min_rows, round(t.share * t.sample_rows)::BIGINT), coalesce(h.n, 0))::BIGINT AS sampled,
        greatest(0, greatest(t.min_rows, round(t.share * t.sample_rows)::BIGINT) - coalesce(h.n, 0))::BIGINT AS deficit
 FROM target_mix t LEFT JOIN have h ON t.lang = h.lang AND t.threat = h.threat AND t.identity_hate = h.identity_hate
 """

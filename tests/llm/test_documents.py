@@ -143,6 +143,9 @@ def test_proportions(spark):
     assert got == {(1, "en", 0): 500, (1, "tr", 1): n["tr", 1], (2, "tr", 0): 17}
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, Q.sample(df.repartition(7), targets, cat).collect()))
     assert s.dropDuplicates().count() == s.count()
+    drawn = {(r.plan_id, r.lang, r.threat): (r.needed, r.sampled, r.deficit) for r in Q.report(df, targets, cat).collect()}
+    assert drawn[1, "en", 0] == (500, 500, 0) and drawn[1, "tr", 1] == (400, n["tr", 1], 400 - n["tr", 1]) and drawn[1, "xx", 0] == (200, 0, 200) and drawn[2, None, 1] == (5, 0, 5) and drawn[3, "en", 1] == (0, 0, 0)
+    assert Q.report(df.limit(0), targets, cat).where("sampled > 0").count() == 0
     assert Q.sample(df.limit(0), targets, cat).count() == 0 and Q.sample(df, targets.limit(0), cat).count() == 0
 
 
