@@ -2,8 +2,8 @@
 
 Winnowing: of each record's rolling hashes over runs of five words, the minima
 of sliding windows are selected as fingerprints, and evaluation records are
-joined with training records on them.  Fingerprints that stand in many records
-(phrases of the house) are left out of the join, and a pair may share no run of
+joined with training records on them.  Fingerprints that stand in many
+evaluation records (phrases of the house) are left out of the join, and a pair may share no run of
 words at all (its words reordered, or edits all over); for these the exact way
 is problem 2's search: the lists of `similar.signatures` go into the same join,
 and every pair that reaches the threshold shares one of those.  What the join
@@ -26,7 +26,7 @@ from ..sources.tables import keep
 from .similar import _ODD, HASH_BITS, WordHashes, _mix, keyed, list_partitions, long_lists, met, only, overlap, sorted_lists
 from .textforms import words
 
-RUN, WINDOW = 5, 8
+RUN, WINDOW = 5, 10
 SEED_RUN = 3  # words of a seed where two records share no fingerprint
 #: A fingerprint that two texts repeat so often (product of both numbers) seeds them in order only.
 _REPEATS = 256
@@ -226,7 +226,8 @@ def linked(spark: SparkSession, df: DataFrame, key: str = "row_id", text: str =
     there = firsts.where("side = 0").select("lo", "hi", F.col("rep").alias("t"))
     exact = keep(here.join(there, ["lo", "hi"]).select("e", "t"))
     near = runs.where(F.col("n") >= least)
-    long, hot = long_lists(near), long_lists(near, "prints")
+    # a fingerprint in over SHORT evaluation records is left to the other lists; one of few may stand in any number of training records
+    long, hot = long_lists(near), long_lists(near.where("side = 1"), "prints")
     side = lambda x: keyed(spark, near.where(F.col("side") == x), long, threshold, hot)
     with list_partitions(spark, 30 * firsts.count()):
         pairs = met(side(1), side(0), threshold, same=False)
