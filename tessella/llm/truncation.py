@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,7 @@ _CLOSES = {")": "([{", "]": "([{", "}": "([{", "»": "«", "”": "“„"}
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _OPENS = set("([{«“„")
 _SIGNS = set("([{«“„\"<")
+_SIGN_RE = re.compile(r'[(){}\[\]«»“”„"]')
 _ENDS = set(".!?…。！？")
 
 
@@ -62,7 +64,8 @@ def still_open(t: str) -> tuple[list[str], set[str]]:
 
     def signs(part: str) -> None:
         part = _FACE_RE.sub(lambda m: " " * len(m.group()), part)
-        for i, c in enumerate(part):
+        for m in _SIGN_RE.finditer(part):
+            i, c = m.start(), m.group()
             if c == "“" and "„" in stack:
                 close("„")
             elif c in _OPENS:
@@ -97,7 +100,7 @@ def _loose_end(t: str) -> str:
         return ""
     if t[-1] in ")]" and _MARKER_RE.search(t):
         return "mark"
-    if t[-1] in ".…":
+    if t.endswith(("..", "…")):
         t = _DOTS_RE.sub("", t)
         if not t:
             return ""
@@ -163,7 +166,7 @@ def ending(text: str | None) -> tuple[str, str, str, str, bool, bool, str, list[
     t = seen
     if t and t[-1] in ")]":
         t = _MARKER_RE.sub("", t)
-    if t and t[-1] in ".…":
+    if t.endswith(("..", "…")) or len(t) < len(seen):
         t = _DOTS_RE.sub("", t)
     t = t.rstrip()
     dotted = len(t) < len(seen)
@@ -193,9 +196,7 @@ def _facts(texts: list[str | None]) -> dict[str, list[int]]:
 
     The last word of a text without terminator is not counted.
     """
-    n: Counter = Counter()
-    ends: Counter = Counter()
-    names: Counter = Counter()
+    seen: Counter = Counter()
     for t in texts:
         if not t:
             continue
@@ -206,18 +207,25 @@ def _facts(texts: list[str | None]) -> dict[str, list[int]]:
         if len(ts) < 2:
             continue
         low = list(map(str.lower, ts))
-        mark = [w[0] in _ENDS for w in ts]
+        mark = [w in _ENDS for w in ts]
         # a word as the context of the next: itself, a name, or the terminator
-        now = ["<n>" if i and not mark[i - 1] and _name_like(w, ts[i - 1]) else low[i] for i, w in enumerate(ts)]
-        at = [i for i in range(len(ts) - 1) if not mark[i]]
-        keys = ["", *now]
-        pairs = [f"{keys[i]} {now[i]}" for i in at]
-        n.update([low[i] for i in at])
-        n.update(pairs)
-        ends.update([low[i] for i in at if mark[i + 1]])
-        ends.update([p for p, i in zip(pairs, at) if mark[i + 1]])
-        names.update([keys[i] for i in at if now[i] == "<n>"])
-    return {k: [c, ends[k], names[k]] for k, c in n.items()}
+        now = [x if x == w or after else "<n>" if _name_like(w, "x") else x for w, x, after in zip(ts, low, [True, *mark])]
+        seen.update(compress(zip(["", *now], now, low, mark[1:]), [not m for m in mark[:-1]]))
+    out: dict[str, list[int]] = {}
+    for (k, x, w, end), c in seen.items():
+        for of in (w, f"{k} {x}"):
+            f = out.get(of)
+            if f is None:
+                f = out[of] = [0, 0, 0]
+            f[0] += c
+            if end:
+                f[1] += c
+        if x == "<n>":
+            # how often a word comes before a name
+            if k not in out:
+                out[k] = [0, 0, 0]
+            out[k][2] += c
+    return {k: f for k, f in out.items() if f[0]}
 
 
 _END_COLUMNS = "source string, chars long, bytes long, ended boolean, blank boolean, open string, w3 string, w2 string, w1 string, hanging boolean, dotted boolean, kind string, closed array<string>"
@@ -287,7 +295,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     a null source counts as the source ''.
     """
     read = keep(_read_texts(df, key, text, source).withColumn("_row", F.monotonically_increasing_id()))
-    ends = read.where("word is null").drop("word", "n", "ends", "names")
+    ends = keep(read.where("word is null").drop("word", "n", "ends", "names"))
     facts = keep(read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("names").alias("names")))
     # an open quote or tag that its source does not usually close says nothing
     closing = _usually_closed(ends).withColumn("_closing", F.lit(True))
