@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import bit_pattern
@@ -25,11 +25,12 @@ def comment_id(lang: Column, text: Column) -> Column:
 
 
 def unique_ids(df: DataFrame, id: str, order: str) -> DataFrame:
-    """If any id repeats, every id gets the number of its earlier occurrences as prefix; else none does."""
+    """If any id repeats, every id gets the number of its earlier occurrences as prefix; else none does.  `order` is an integer key."""
     if not df.agg(F.count_distinct(id) < F.count(id)).first()[0]:
         return df
-    n = F.row_number().over(Window.partitionBy(id).orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumn(id, F.concat_ws("_", F.col("_n").cast("string"), F.col(id))).drop("_n")
+    from ..operators.ranking import by_number
+
+    return by_number(df, [id], order, "_n").withColumn("_n", F.col("_n") - 1).withColumn(id, F.concat_ws("_", F.col("_n").cast("string"), F.col(id))).drop("_n")
 
 
 def stratum() -> Column:

@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import keep
+from .ranking import running
+
 LEVELS = ["none", "low", "medium", "high", "severe"]
 
 
 def fit_edges(df: DataFrame, col: str, levels: int = 4, points: int = 100) -> list[float]:
     """Edges over the non-zero values: the values themselves if at most four differ; else the minima of a Gaussian density on a grid between 0 and 1; else quantiles.
 
-    Distinct values are counted in Spark and read only up to 10,000; beyond
-    that the density is taken over a histogram of 1,000 cells.
+    Distinct values are counted once; the density at every grid point is one
+    sum over them, and quantiles come from their running counts.
     """
     v = df.where(F.col(col).isNotNull() & (F.col(col) != 0)).select(F.col(col).cast("double").alias("v"))
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(10_001).count() > 10_000:
-        counts = v.groupBy((F.round(F.col("v") * 1000) / 1000).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((r.v, r.n) for r in counts.collect())
-    if not rows:
-        return []
-    if len(rows) <= 4:
-        return [x for x, _ in rows]
-    x, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    total = n.sum()
-    mean = (x * n).sum() / total
-    std = np.sqrt((n * (x - mean) ** 2).sum() / max(1, total - 1))
+    counts = keep(v.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    few = sorted(r.v for r in counts.limit(5).collect())
+    if len(few) <= 4:
+        return few
+    x, n = F.col("v"), F.col("n")
+    total, mean, low, high = counts.agg(F.sum("n"), F.sum(x * n) / F.sum("n"), F.min("v"), F.max("v")).first()
+    std = math.sqrt(counts.agg(F.sum(n * F.pow(x - mean, 2))).first()[0] / max(1, total - 1))
     if std > 0:
         width = std * total ** (-1 / 5)
-        at = np.linspace(0, 1, points)
-        density = (n * np.exp(-0.5 * ((at[:, None] - x) / width) ** 2)).sum(1)
-        minima = [float(at[i]) for i in range(1, points - 1) if density[i] < density[i - 1] and density[i] < density[i + 1]]
+        at = [i / (points - 1) for i in range(points)]
+        density = counts.agg(F.array(*[F.sum(n * F.exp(-0.5 * F.pow((F.lit(a) - x) / width, 2))) for a in at])).first()[0]
+        minima = [at[i] for i in range(1, points - 1) if density[i] < density[i - 1] and density[i] < density[i + 1]]
         if len(minima) >= levels - 1:
             return [0.0, *minima[: levels - 1], 1.0]
-    share = np.cumsum(n) / total
-    inner = [float(x[np.searchsorted(share, q / levels)]) for q in range(1, levels)]
-    return sorted({float(x[0]), *inner, float(x[-1])})
+    span = (high - low) or 1.0
+    ahead = running(counts, [], ["v"], F.floor((x - low) / span * 4095), {"n": "n"}).withColumn("upto", F.col("_before_n") + n)
+    inner = ahead.agg(*[F.min(F.when(F.col("upto") >= q / levels * total, x)).alias(str(q)) for q in range(1, levels)]).first()
+    return sorted({low, *inner, high})
 
 
 def level(c: Column, edges: list[float]) -> Column:

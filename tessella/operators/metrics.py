@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import keep
+from .ranking import running, score_bucket
+
 
 def usable(predictions: DataFrame) -> DataFrame:
     """Rows with finite `y` and `p`, each (row, language, label) once."""
@@ -43,9 +46,8 @@ def prf(conf: DataFrame) -> DataFrame:
 def auc(df: DataFrame, *by: str) -> DataFrame:
     """Exact ROC-AUC with ties at half, over distinct scores; 0 if a class is missing."""
     counts = df.groupBy(*by, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.sum(F.col("a") * (F.col("_below") + F.col("b") / 2.0))
-    return counts.withColumn("_below", below).groupBy(*by).agg(F.coalesce(F.try_divide(wins, F.sum("a").cast("double") * F.sum("b")), F.lit(0.0)).alias("auc"))
+    wins = F.sum(F.col("a") * (F.col("_before_b") + F.col("b") / 2.0))
+    return running(counts, list(by), ["p"], score_bucket("p"), {"b": "b"}).groupBy(*by).agg(F.coalesce(F.try_divide(wins, F.sum("a").cast("double") * F.sum("b")), F.lit(0.0)).alias("auc"))
 
 
 def brier(df: DataFrame, *by: str) -> DataFrame:
@@ -82,7 +84,7 @@ def tree(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     `thresholds` holds (`threshold_set`, `lang_id`, `label`, `threshold`), a
     table as small as labels times languages.
     """
-    j = df.join(thresholds, ["lang_id", "label"]).withColumnRenamed("threshold", "_t").persist()
+    j = keep(df).join(thresholds, ["lang_id", "label"]).withColumnRenamed("threshold", "_t")
     names = ["auc", "precision", "recall", "f1", "brier", "support"]
     wide = ["auc_macro", "auc_weighted", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted", "f1_macro", "f1_weighted", "hamming", "exact_match", "records"]
     s = "threshold_set"
@@ -101,14 +103,42 @@ def tree(df: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def roc(df: DataFrame, *by: str) -> DataFrame:
-    """Points of the ROC curve, one a distinct score, from the greatest down; groups of one class are left out."""
+    """Points of the ROC curve, one a distinct score, from the greatest down; groups of one class are left out.
+
+    `roc_corners` drops points within straight stretches and adds the start (0, 0).
+    """
     counts = df.groupBy(*by, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    c = counts.withColumns({"tp": F.sum("a").over(w), "fp": F.sum("b").over(w), "_p": F.sum("a").over(all_), "_n": F.sum("b").over(all_)}).where("_p > 0 and _n > 0")
+    counts = keep(counts)
+    totals = counts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.sum("a").alias("_p"), F.sum("b").alias("_n")).where("_p > 0 and _n > 0")
+    c = running(counts, list(by), [F.desc("p")], -score_bucket("p"), {"a": "a", "b": "b"})
+    on = F.lit(True)
+    for i, x in enumerate(by):
+        on = on & F.col(x).eqNullSafe(F.col(f"_g{i}"))
+    c = c.join(totals, on).withColumns({"tp": F.col("_before_a") + F.col("a"), "fp": F.col("_before_b") + F.col("b")})
     return c.select(*by, "p", F.round(F.col("fp") / F.col("_n"), 6).alias("fpr"), F.round(F.col("tp") / F.col("_p"), 6).alias("tpr"))
 
 
+def roc_corners(points: DataFrame, *by: str) -> DataFrame:
+    """The points of `roc` where the curve turns, with its start and end: neighbours on one straight line are dropped.
+
+    The neighbours of a point come from windows over buckets of the score and
+    from the last point of the bucket before and the first of the one after.
+    """
+    cut = points.withColumn("_b", -score_bucket("p"))
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc("p"))
+    xy = F.struct("fpr", "tpr")
+    cut = cut.withColumns({"_l": F.lag(xy).over(w), "_r": F.lead(xy).over(w)})
+    ends = cut.groupBy(*by, "_b").agg(F.max_by(xy, "p").alias("_first"), F.min_by(xy, "p").alias("_last"))
+    o = Window.partitionBy(*by).orderBy("_b")  # over buckets, not points
+    ends = ends.select(*by, "_b", F.lag("_last").over(o).alias("_pl"), F.lead("_first").over(o).alias("_nf"))
+    j = cut.join(ends, [*by, "_b"])
+    j = j.withColumns({"_l": F.coalesce("_l", "_pl", F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))), "_r": F.coalesce("_r", "_nf")})
+    turn = (F.col("fpr") - F.col("_l.fpr")) * (F.col("_r.tpr") - F.col("tpr")) - (F.col("_r.fpr") - F.col("fpr")) * (F.col("tpr") - F.col("_l.tpr"))
+    kept = j.where(F.col("_r").isNull() | (F.abs(turn) > 1e-12)).select(*by, "p", "fpr", "tpr")
+    start = points.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return kept.unionByName(start)
+
+
 def bootstrap_auc(df: DataFrame, *by: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Mean and population deviation of the AUC over Poisson bootstrap replicates."""
     from .sampling import bootstrap_counts

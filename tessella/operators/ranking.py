@@ -1,4 +1,4 @@
-"""Exact ranks within groups without sorting a whole group in one task."""
+"""Exact ranks and running totals within groups without sorting a whole group in one task."""
 
 from __future__ import annotations
 
@@ -36,6 +36,36 @@ def by_draw(df: DataFrame, by: list[str], key: str, seed: str = "42", name: str
 
 def by_number(df: DataFrame, by: list[str], key: str, name: str = "_rank") -> DataFrame:
     """Rank by an integer key: buckets are equal ranges between its least and greatest value."""
+    return ranked(df, by, [key], equal_ranges(df, key), name)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], bucket: Column, sums: dict[str, str], name: str = "_before_") -> DataFrame:
+    """`df` with, for each name of `sums`, the total of its column over the rows of the group that come before a row.
+
+    `bucket` must not decrease in the order.  Totals per bucket carry over
+    from bucket to bucket in a window over buckets; within a bucket a window
+    runs over its own rows only.  Null groups are groups, null values count 0.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    offsets = totals.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_ob"), *[F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0)).alias(f"_c_{k}") for k in sums])
+    on = F.col("_bucket").eqNullSafe(F.col("_ob"))
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    here = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumns({f"_w_{k}": F.coalesce(F.sum(c).over(here), F.lit(0)) for k, c in sums.items()}).join(offsets, on)
+    out = out.withColumns({f"{name}{k}": F.col(f"_w_{k}") + F.col(f"_c_{k}") for k in sums})
+    return out.drop("_bucket", "_ob", *[f"_o{i}" for i in range(len(by))], *[x for k in sums for x in (f"_w_{k}", f"_c_{k}")])
+
+
+def score_bucket(p: str) -> Column:
+    """Buckets of a score: 4,096 equal cells between 0 and 1, what lies outside in the outermost."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))) * _BUCKETS)
+
+
+def equal_ranges(df: DataFrame, key: str) -> Column:
+    """Buckets of an integer key: equal ranges between its least and greatest value."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // _BUCKETS))
-    return ranked(df, by, [key], F.floor((F.col(key) - F.lit(low or 0)) / width), name)
+    return F.floor((F.col(key) - F.lit(low or 0)) / width)

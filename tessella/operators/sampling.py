@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import draw
-from .ranking import by_draw
+from .ranking import by_draw, equal_ranges, running
 
 
 def stratum_offsets(df: DataFrame, stratum: str) -> DataFrame:
@@ -46,8 +45,8 @@ def take(df: DataFrame, n: Column | int, by: list[str], key: str = "row_id", see
 
 
 def capped(df: DataFrame, n: int, key: str = "row_id", seed: str = "42") -> DataFrame:
-    """At most `n` rows in all, the first by hash: a top-k, not a sort of everything."""
-    return df.orderBy(draw(F.col(key), seed), key).limit(n)
+    """At most `n` rows in all, the first by hash."""
+    return take(df, n, [], key, seed)
 
 
 def balanced(df: DataFrame, positive: str, by: str, key: str = "row_id", seed: str = "42") -> DataFrame:
@@ -78,7 +77,7 @@ def reduced_to_ratio(df: DataFrame, label: str, ratio: DataFrame, key: str = "ro
 
 def removed(df: DataFrame, condition: Column, n: int, key: str = "row_id", seed: str = "42") -> DataFrame:
     """`df` without the first `n` rows by hash that meet a condition; all of them if there are fewer."""
-    goes = df.where(condition).orderBy(draw(F.col(key), seed), key).limit(n).select(key)
+    goes = take(df.where(condition), n, [], key, seed).select(key)
     return df.join(goes, key, "left_anti")
 
 
@@ -91,7 +90,7 @@ def with_replacement(df: DataFrame, need: DataFrame, by: list[str], key: str = "
     places = by_draw(df, by, key, seed, "_place")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     draws = need.join(sizes, by).where("_need > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_need").cast("int"))))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "draw"), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "draw"), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
     picks = draws.withColumn("_place", (F.pmod(h, F.col("_size")) + 1).cast("long")).select(*by, "_place", "draw")
     return picks.join(places, [*by, "_place"]).drop("_place")
 
@@ -105,17 +104,17 @@ def quota(df: DataFrame, reference: str, labels: list[str], lang: str = "lang")
     return long.select("label", "need", F.floor(F.try_divide("pos", "n") * F.col("need")).cast("long").alias("target"))
 
 
-def trimmed_to_total(df: DataFrame, amount: str, most: int, by: list[str], order: list[str]) -> DataFrame:
-    """Rows of each group, in order, while their running total stays within `most`."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(amount).over(w)).where(F.col("running") <= most)
+def trimmed_to_total(df: DataFrame, amount: str, most: int, by: list[str], order: str) -> DataFrame:
+    """Rows of each group, in order of an integer key, while their running total stays within `most`."""
+    out = running(df, by, [order], equal_ranges(df, order), {"amount": amount}, "_")
+    return out.withColumn("running", F.col("_amount") + F.coalesce(F.col(amount), F.lit(0))).drop("_amount").where(F.col("running") <= most)
 
 
 def bootstrap_counts(df: DataFrame, replicates: int, key: str = "row_id", seed: int = 7) -> DataFrame:
     """For each replicate how often a row is drawn: Poisson(1), the bootstrap that needs no common count; rows drawn 0 times are left out."""
     u = (F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
     edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
+    for k in range(19):  # beyond, the probability is under the resolution of the draw
         total += term
         edges.append(total)
         term /= k + 1

@@ -517,7 +517,7 @@ def best_so_far(spark, d):
 
 @query("""
 WITH r AS (SELECT event_id, user_id, (event_type = 'error')::INTEGER AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
-SELECT a.event_id, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, a.i - b.i) * b.x), 6) AS ema FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i AND b.i > a.i - 600 GROUP BY a.event_id""")
+SELECT a.event_id, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, a.i - b.i) * b.x), 6) AS ema FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id""")
 def ema_positive(spark, d):
     e = table(spark, d, "events").withColumn("x", (F.col("event_type") == "error").cast("int"))
     return V.exponential_mean(e, "x", ["user_id"], ["event_id"]).select("event_id", "ema")
@@ -579,9 +579,9 @@ def balance_1to1(spark, d):
     return G.balanced(rows, "pos", "lang").select("row_id", "lang", "copy")
 
 
-@query(f"SELECT row_id FROM split ORDER BY {_DRAW}, row_id LIMIT 500")
+@query(f"SELECT row_id FROM split ORDER BY {_DRAW}, row_id LIMIT 51518")
 def cap_n(spark, d):
-    return G.capped(_split(spark, d).select("row_id"), 500)
+    return G.capped(_split(spark, d).select("row_id"), 51_518)
 
 
 _PT = "(SELECT row_id, threat > 0 AS pos FROM split WHERE split = 'test' AND lang = 'pt')"
@@ -613,7 +613,7 @@ WITH places AS (SELECT *, row_number() OVER (PARTITION BY lang, label ORDER BY {
 n AS (SELECT lang, label, count(*) AS n FROM {_RARE} GROUP BY ALL),
 draws AS (SELECT lang, label, n, unnest(generate_series(1, 1000 - n))::INTEGER AS draw FROM n WHERE n < 1000)
 SELECT p.row_id, d.lang, d.label, d.draw FROM draws d JOIN places p ON p.lang = d.lang AND p.label = d.label
-AND p.place = ('0x' || substring(md5('42draw|' || d.lang || '|' || d.label || '|' || d.draw::VARCHAR), 1, 8))::BIGINT % d.n + 1""")
+AND p.place = ('0x' || substring(md5('42draw|' || d.lang || '|' || d.label || '|' || d.draw::VARCHAR), 1, 15))::BIGINT % d.n + 1""")
 def oversample_rare(spark, d):
     rare = L.long_labels(_split(spark, d), "row_id", "lang", labels=["threat", "identity_hate"]).where("v > 0 and lang is not null").drop("v")
     need = rare.groupBy("lang", "label").agg((1000 - F.count(F.lit(1))).alias("_need"))
@@ -635,7 +635,7 @@ def quota_plan(spark, d):
 @query("SELECT source, aug_id, running FROM (SELECT source, aug_id, sum(length(text)) OVER (PARTITION BY source ORDER BY aug_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM augmented WHERE text IS NOT NULL) WHERE running <= 20000")
 def trim_to_quota(spark, d):
     a = table(spark, d, "augmented").where("text is not null").withColumn("chars", F.length("text").cast("long"))
-    return G.trimmed_to_total(a, "chars", 20_000, ["source"], ["aug_id"]).select("source", "aug_id", "running")
+    return G.trimmed_to_total(a, "chars", 20_000, ["source"], "aug_id").select("source", "aug_id", "running")
 
 
 @query()

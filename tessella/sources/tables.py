@@ -19,12 +19,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session, a local one only where it is unset."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session; a temporary one where it is unset and the session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")

@@ -238,3 +238,65 @@ def test_bootstraps_take_1000_replicates(spark):
     assert M.bootstrap_auc(df, "label").first().replicates > 950  # those that draw both classes
     assert inspect.signature(M.roc_band).parameters["replicates"].default == 1000
     assert ", 1000)" in inspect.getsource(Q.bootstrap_sample)
+
+
+def test_exponential_mean_of_a_long_hot_group(spark):
+    from tessella.operators import windows as V
+
+    for keep, n in ((0.999, 1500), (0.95, 12_000), (0.02, 700)):
+        rows = [(0, i, None if i % 17 == 3 else float(i % 7)) for i in range(n)] + [(1, i, 1.0) for i in range(3)]
+        got = {(r.g, r.i): r.ema for r in V.exponential_mean(spark.createDataFrame(rows, "g int, i long, v double"), "v", ["g"], ["i"], keep).collect()}
+        s = {0: 0.0, 1: 0.0}
+        for g, i, v in rows:
+            s[g] = keep * s[g] + (1 - keep) * (v or 0.0)
+            assert abs(got[g, i] - s[g]) < 2e-6, (keep, g, i)
+    assert V.exponential_mean(spark.createDataFrame([], "g int, i long, v double"), "v", ["g"], ["i"]).count() == 0
+
+
+def test_running_totals_of_one_hot_key(spark):
+    from tessella.operators import ranking as R
+
+    rows = [("hot", i, i % 5) for i in range(3000)] + [(None, i, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, i long, v int").repartition(7)
+    out = R.running(df, ["g"], ["i"], R.equal_ranges(df, "i"), {"v": "v"})
+    assert out.columns == ["g", "i", "v", "_before_v"]
+    got = {(r.g, r.i): r._before_v for r in out.collect()}
+    total = 0
+    for g, i, v in rows[:3000]:
+        assert got[g, i] == total
+        total += v
+    assert [got[None, i] for i in range(4)] == [0, 1, 2, 3]
+
+
+def test_ids_of_one_hot_key(spark):
+    from tessella.functions import keys as K
+
+    df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 900)], "x string, i long").repartition(5)
+    got = {r.i: r.x for r in K.unique_ids(df, "x", "i").collect()}
+    assert all(got[i] == f"{i}_a" for i in range(500)) and got[900] == "0_b"
+
+
+def test_edges_of_many_values(spark):
+    import numpy as np
+
+    from tessella.operators import binning as B
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(0.2, 0.02, 6000), rng.normal(0.5, 0.02, 6000), rng.normal(0.7, 0.02, 6000), rng.normal(0.95, 0.01, 6000)])
+    e = B.fit_edges(spark.createDataFrame([(float(x),) for x in v], "v double"), "v")
+    width = v.std(ddof=1) * len(v) ** -0.2
+    at = np.linspace(0, 1, 100)
+    d = np.exp(-0.5 * ((at[:, None] - v) / width) ** 2).sum(1)
+    minima = [at[i] for i in range(1, 99) if d[i] < d[i - 1] and d[i] < d[i + 1]]
+    assert len(minima) >= 3 and np.allclose(e, [0.0, *minima[:3], 1.0])
+    u = np.arange(1, 20_001) / 7.0
+    assert np.allclose(B.fit_edges(spark.createDataFrame([(float(x),) for x in u], "v double"), "v"), [u[0], u[4999], u[9999], u[14999], u[-1]])
+
+
+def test_corners_of_a_roc_curve(spark):
+    from tessella.operators import metrics as M
+
+    rows = [(i, 0, "a", y, p) for i, (y, p) in enumerate([(1, 0.9), (1, 0.8), (0, 0.7), (0, 0.6), (1, 0.5), (0, 0.4), (0, 0.3)])]
+    df = spark.createDataFrame(rows, "row_id long, lang_id int, label string, y int, p double")
+    got = sorted((r.fpr, r.tpr) for r in M.roc_corners(M.roc(df, "label"), "label").collect())
+    assert [(round(x, 3), round(y, 3)) for x, y in got] == [(0.0, 0.0), (0.0, 0.667), (0.5, 0.667), (0.5, 1.0), (1.0, 1.0)]
