@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,45 @@ def one_hot(label: Column, labels: list[str] = LABELS) -> list[Column]:
 
 
 def as_percent(p: str | Column) -> Column:
-    return F.round((F.col(p) if isinstance(p, str) else p) * 100, 1)
+    """To one place, halves up."""
+    return F.floor((F.col(p) if isinstance(p, str) else p) * 1000 + 0.5) / 10
+
+
+def violations(df: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """`label`, `value`, `n` of values that are neither 0, 1 nor null (not a number counts as null)."""
+    long = df.select(*[F.col(x).cast("double").alias(x) for x in labels]).unpivot([], labels, "label", "value")
+    return long.where(~F.isnan("value") & ~F.col("value").isin(0.0, 1.0)).groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def checked(df: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """`df` itself; an error names labels that hold other values than 0, 1 and null."""
+    bad = violations(df, labels).select("label").distinct().limit(len(labels)).collect()
+    if bad:
+        raise ValueError("values other than 0, 1 and null in " + ", ".join(sorted(r[0] for r in bad)))
+    return df
+
+
+def uniform(seed: str, *key: str) -> Column:
+    """A number in (0, 1) fixed by a seed and columns."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def noisy(c: str, *key: str, deviation: float = 0.1, seed: str = "42") -> Column:
+    """The value with normal noise, fixed by the columns `key`, kept within 0 and 1; null stays null."""
+    u, v = uniform(f"{seed}{c}u", *key), uniform(f"{seed}{c}v", *key)
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    return F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) + deviation * z)))
+
+
+def thousands(n: str | Column) -> Column:
+    """A count with commas."""
+    return F.format_number(F.col(n) if isinstance(n, str) else n, 0)
+
+
+def percent_text(share: str | Column) -> Column:
+    """A share as text with two places, halves up, and a percent sign."""
+    return F.format_string("%.2f%%", F.floor((F.col(share) if isinstance(share, str) else share) * 10_000 + 0.5) / 100)
 
 
 def sigmoid(x: Column) -> Column:

@@ -234,3 +234,18 @@ def is_ascii(c: Column) -> Column:
 
 def has_word(c: Column) -> Column:
     return F.coalesce(c.rlike(f"[{WORD}]"), F.lit(False))
+
+
+def word_ids(words: Column, size: int = 250_000, first: int = 4) -> Column:
+    """An id for each word by its hash, from `first` on: stands in where no tokenizer is at hand."""
+    return F.transform(words, lambda w: (F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(size)) + first).cast("int"))
+
+
+def sequence(ids: Column, length: int, start: int = 0, end: int = 2, pad: int = 1) -> Column:
+    """Fixed-length input of a model: `input_ids` (start, ids cut to fit, end, padding), `attention_mask`, and how many ids were `cut`; null counts as no ids."""
+    ids = F.coalesce(ids, F.array().cast("array<int>"))
+    kept = F.slice(ids, 1, length - 2)
+    n = F.size(kept) + 2
+    whole = F.concat(F.array(F.lit(start)), kept, F.array(F.lit(end)), F.array_repeat(F.lit(pad), F.lit(length) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    return F.struct(whole.alias("input_ids"), mask.alias("attention_mask"), (F.size(ids) + 2 - n).alias("cut"))

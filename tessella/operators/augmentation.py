@@ -119,3 +119,17 @@ def probabilities(features: PipelineModel, models: dict[str, LogisticRegressionM
             m = m.copy().setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_h")
             out = m.transform(out).withColumn(x, vector_to_array("_p")[1]).drop("_p", "_r", "_h")
     return out.drop("features")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted classifier kept in a folder of the shared file system; what was there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def in_language(c: Column, wanted: str, detect) -> Column:
+    """Whether a text's language, by the rule `detect`, is the one wanted; null and blank texts are not valid."""
+    return F.coalesce((F.length(F.trim(c)) > 0) & (detect(c) == wanted), F.lit(False))

@@ -61,3 +61,9 @@ def shown_tokens(pieces: Column, special: tuple[str, ...] = ("<s>", "</s>", "<pa
     kept = F.filter(pieces, lambda w: ~w.isin(*special))
     bare = F.transform(kept, lambda w: F.replace(w, F.lit("▁"), F.lit("")))
     return F.transform(bare, lambda w: F.when(w == "", "[SPACE]").otherwise(w))
+
+
+def shown_matrix(pieces: Column, matrix: Column, special: tuple[str, ...] = ("<s>", "</s>", "<pad>", "<unk>", "<mask>")) -> Column:
+    """A square matrix (array of rows) without the rows and columns of special pieces."""
+    at = F.filter(F.transform(pieces, lambda w, i: F.when(~w.isin(*special), i)), lambda i: i.isNotNull())
+    return F.transform(at, lambda i: F.transform(at, lambda j: F.get(F.get(matrix, i), j)))

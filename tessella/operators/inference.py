@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, has_word, is_ascii
-from ..schema import LABELS, LANGS
+from ..schema import LABELS, LANGS, SERVING_THRESHOLDS
 
 # Characters that speak for a language.
 CHARACTERS = {
@@ -92,3 +92,17 @@ def results(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     probabilities = F.create_map(*[x for y in LABELS for x in (F.lit(y), F.col(y))])
     hits = F.filter(F.array(*[F.when(F.col(y) >= thresholds[y], F.lit(y)) for y in LABELS]), lambda x: x.isNotNull())
     return df.withColumn("probabilities", probabilities).withColumn("toxic_categories", hits).withColumn("is_toxic", F.size("toxic_categories") > 0)
+
+
+def top_category(probabilities: dict[str, Column], fallback: str = "toxic", least: float = 0.2) -> Column:
+    """The label of the greatest probability, the first of equal ones; `fallback` if none is above `least`."""
+    best = F.array_max(F.array(*[F.struct(F.coalesce(p, F.lit(0.0)).alias("p"), F.lit(-i).alias("i"), F.lit(x).alias("x")) for i, (x, p) in enumerate(probabilities.items())]))
+    return F.when(best["p"] > least, best["x"]).otherwise(fallback)
+
+
+def predicted(spark: SparkSession, texts: list[str], langs: list[str] | None = None, load=lexicon_scorer, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Result rows of a few texts given by hand; languages by the rules where none are given."""
+    rows = [(i, t, (langs or [None] * len(texts))[i]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_id long, comment_text string, lang string")
+    df = df.withColumn("lang", F.coalesce("lang", detect_by_rules(F.coalesce("comment_text", F.lit("")))))
+    return results(scored(df, load), thresholds or SERVING_THRESHOLDS).join(df.select("row_id", "comment_text", "lang"), "row_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import noisy
 from .ranking import by_draw, equal_ranges, running
 
 
@@ -17,14 +19,16 @@ def stratum_offsets(df: DataFrame, stratum: str) -> DataFrame:
     return counts.select(stratum, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
 
 
-def folds(df: DataFrame, stratum: str, k: int, key: str = "row_id", seed: str = "42", name: str = "fold") -> DataFrame:
+def folds(df: DataFrame, stratum: str, k: int, key: str = "row_id", seed: str = "42", name: str = "fold", at: str | None = None) -> DataFrame:
     """Stratified folds 0..k-1: position in the list ordered by stratum and hash, modulo k.
 
     Positions are counted within each stratum and shifted by the strata before
-    it, so no task sorts the whole table.
+    it, so no task sorts the whole table.  `at` names a column for the position.
     """
     placed = by_draw(df, [stratum], key, seed, "_rank").withColumn("_at", F.col("_rank") - 1).drop("_rank")
-    return placed.join(stratum_offsets(df, stratum), stratum).withColumn(name, F.pmod(F.col("_at") + F.col("_before"), F.lit(k)).cast("int")).drop("_at", "_before")
+    placed = placed.join(stratum_offsets(df, stratum), stratum).withColumn("_at", F.col("_at") + F.col("_before"))
+    placed = placed.withColumn(name, F.pmod("_at", F.lit(k)).cast("int")).drop("_before")
+    return placed.withColumnRenamed("_at", at) if at else placed.drop("_at")
 
 
 def three_way(df: DataFrame, stratum: str, key: str = "row_id", seed: str = "42") -> DataFrame:
@@ -123,3 +127,51 @@ def bootstrap_counts(df: DataFrame, replicates: int, key: str = "row_id", seed:
         times = F.when(F.col("_u") < edges[k], k).otherwise(times)
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", u)
     return each.withColumn("times", times.cast("int")).where("times > 0").drop("_u")
+
+
+def appended_rare(df: DataFrame, rare: list[str], others: list[str], least: int, key: str = "row_id", lang: str = "lang", deviation: float = 0.1, seed: str = "42") -> DataFrame:
+    """`df` and, for each language and rare label of fewer than `least` positive rows, draws of those rows up to `least`, their other labels with noise.
+
+    The result has `key`, `lang`, all labels as numbers, and `rare` and `draw`
+    (null for the rows of `df` themselves).  Rows without a language are not drawn.
+    """
+    labels = [*rare, *others]
+    rows = df.select(key, lang, *[F.col(x).cast("double").alias(x) for x in labels])
+    pos = rows.where(F.col(lang).isNotNull()).unpivot([key, lang], rare, "rare", "_v").where("_v > 0").drop("_v")
+    need = pos.groupBy(lang, "rare").agg((least - F.count(F.lit(1))).alias("_need"))
+    drawn = with_replacement(pos, need, [lang, "rare"], key, seed).select(key, "rare", "draw").join(rows, key)
+    drawn = drawn.withColumns({x: noisy(x, key, "rare", "draw", deviation=deviation, seed=seed) for x in others})
+    own = rows.withColumns({"rare": F.lit(None).cast("string"), "draw": F.lit(None).cast("int")})
+    return own.unionByName(drawn.select(*own.columns))
+
+
+def sample_appended(df: DataFrame, pool: DataFrame, n: int, text: str, translate: Callable[[Column], Column] = lambda c: c, key: str = "row_id", seed: str = "42") -> DataFrame:
+    """`df` and `n` draws with replacement from `pool`, their texts passed through `translate` (back-translation; the text itself by default).
+
+    `draw` numbers the draws; it is null for the rows of `df`.
+    """
+    need = pool.groupBy().agg(F.lit(n).alias("_need")).withColumn("_all", F.lit(1))
+    picks = with_replacement(pool.withColumn("_all", F.lit(1)), need, ["_all"], key, seed).drop("_all")
+    back = translate(F.col(text))
+    picks = picks.withColumn(text, F.coalesce(back, F.col(text)))
+    return df.withColumn("draw", F.lit(None).cast("int")).unionByName(picks.select(*df.columns, F.col("draw").cast("int").alias("draw")))
+
+
+def batches(df: DataFrame, size: int, group: str, key: str = "row_id", seed: str = "42") -> DataFrame:
+    """Batches of rows drawn with replacement: a group in proportion to its size, then a row of it; as many whole batches as the rows make, one at least.
+
+    `batch` and `place` number the draws.  A draw is a place in the list of
+    rows that stands group by group, so a group is met in proportion to its
+    size and each of its rows alike.  Draws meet rows in an equi-join.
+    """
+    placed = folds(df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit(""))), "_g", 1, key, seed, "_f", at="_place").drop("_f", "_g")
+    total = df.count()
+    many = max(1, total // size) * size if total else 0
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "batch"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(many).select(F.floor(F.col("id") / size).cast("int").alias("batch"), (F.col("id") % size).cast("int").alias("place"), F.pmod(h, F.lit(max(1, total))).alias("_place"))
+    return draws.join(placed, "_place").drop("_place")
+
+
+def filled(df: DataFrame, pool: DataFrame, need: int, key: str, seed: str = "42") -> DataFrame:
+    """`df` and the first `need` rows of `pool` by hash: a category brought up to its quota with generated rows."""
+    return df.withColumn("generated", F.lit(False)).unionByName(take(pool, need, [], key, seed).withColumn("generated", F.lit(True)))

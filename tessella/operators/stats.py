@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +133,41 @@ def p_value(chi2: float, dof: int) -> float:
     return h * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """`chi2` and `dof` with the probability `p` of a statistic as large by chance."""
+
+    @F.pandas_udf("double")
+    def upper(chi2: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([p_value(x, int(k)) if k > 0 else 1.0 for x, k in zip(chi2, dof)], dtype="float64")
+
+    return tests.withColumn("p", upper("chi2", F.col("dof").cast("double")))
+
+
+def success(df: DataFrame, ok: Column, *by: str) -> DataFrame:
+    """Attempts, valid ones and the percentage of those."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.coalesce(ok, F.lit(False)).cast("long")).alias("valid"))
+    return n.withColumn("success_pct", F.round(F.col("valid") * 100.0 / F.col("attempts"), 4))
+
+
+def norms(df: DataFrame, step: str, name: str, norm: str) -> DataFrame:
+    """Of each step the largest, least and mean norm and the name that holds the largest (the first by name where several do)."""
+    return df.groupBy(step).agg(F.max(norm).alias("largest"), F.min(norm).alias("least"), F.round(F.avg(norm), 6).alias("mean"), F.min(F.struct((-F.col(norm)).alias("a"), F.col(name).alias("b"))).alias("_m")).select(step, "largest", "least", "mean", F.col("_m.b").alias("largest_name"))
+
+
+def stacked_shares(df: DataFrame, by: str, labels: list[str]) -> DataFrame:
+    """Per group the percentage of rows without a positive label, and of each label."""
+    pos = {x: F.coalesce((F.col(x) > 0).cast("int"), F.lit(0)) for x in labels}
+    none = sum(pos.values(), F.lit(0)) == 0
+    pct = lambda c: F.round(F.sum(c) * 100.0 / F.count(F.lit(1)), 4)
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), pct(none.cast("int")).alias("non_toxic"), *[pct(c).alias(x) for x, c in pos.items()])
+
+
+def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, least and greatest of each column, nulls left out."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "v").where("v is not null")
+    return long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+
+
 def variation(df: DataFrame, by: str, most: float = 0.15) -> DataFrame:
     """Coefficient of variation of the groups' sizes, and whether it is above `most`."""
     g = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -119,18 +119,35 @@ ADJUSTMENTS = {
 }
 
 
+def _shares(df: DataFrame, batch: str, order: str, labels: list[str], decay: float) -> DataFrame:
+    """Per batch, language and label: `n`, `pos` and the running counts `_hp`, `_hn`."""
+    from .windows import exponential_mean
+
+    counts = df.groupBy(batch, "lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.coalesce(F.col(x), F.lit(0)) > 0).cast("long")).alias(x) for x in labels])
+    long = counts.unpivot([batch, "lang", "n"], labels, "label", "pos")
+    run = exponential_mean(long, "pos", ["lang", "label"], [order], decay, None).withColumnRenamed("ema", "_hp")
+    return exponential_mean(run, "n", ["lang", "label"], [order], decay, None).withColumnRenamed("ema", "_hn")
+
+
+def dynamic_focal(df: DataFrame, batch: str, order: str, labels: list[str], decay: float = 0.95) -> DataFrame:
+    """`alpha` and `gamma` of the focal loss of each batch and label: means over the batch's languages, weighted by their rows.
+
+    Of a language: alpha is 1 over its share of positives, kept within 0.05
+    and 0.95; gamma the log of (1 + 1 / share), kept within 1 and 4.
+    """
+    share = 0.7 * F.col("_hp") / (F.col("_hn") + 1e-7) + 0.3 * F.col("pos") / F.col("n") + 1e-7
+    run = _shares(df, batch, order, labels, decay).withColumns({"_a": 1 / F.greatest(F.lit(0.05), F.least(F.lit(0.95), share)), "_g": F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.log1p(1 / share)))})
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6)
+    return run.groupBy(batch, "label").agg(mean("_a").alias("alpha"), mean("_g").alias("gamma"))
+
+
 def dynamic(df: DataFrame, batch: str, order: str, labels: list[str], scale: DataFrame | None = None, decay: float = 0.95) -> DataFrame:
     """Weights of each batch, language and label from running and batch shares.
 
     Running counts decay by `decay` a batch of the language; weights are
     divided by their mean over the batch's rows and kept within 0.1 and 10.
     """
-    from .windows import exponential_mean
-
-    counts = df.groupBy(batch, "lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.coalesce(F.col(x), F.lit(0)) > 0).cast("long")).alias(x) for x in labels])
-    long = counts.unpivot([batch, "lang", "n"], labels, "label", "pos")
-    run = exponential_mean(long, "pos", ["lang", "label"], [order], decay).withColumnRenamed("ema", "_hp")
-    run = exponential_mean(run, "n", ["lang", "label"], [order], decay).withColumnRenamed("ema", "_hn")
+    run = _shares(df, batch, order, labels, decay)
     adjust = {f"{x}|{y}": v for x, vs in ADJUSTMENTS.items() for y, v in zip(labels, vs)}
     w = log_ratio_weight(F.col("_hp") / (F.col("_hn") + 1e-7), F.col("pos") / F.col("n")) * lookup(adjust, F.concat_ws("|", "lang", "label"), 1.0)
     if scale is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import by_number
@@ -27,7 +27,7 @@ def best_so_far(df: DataFrame, value: str, by: list[str], order: list[str]) -> D
     return df.withColumn("best", F.greatest(F.coalesce(before, F.col(value)), F.col(value))).withColumn("improved", F.coalesce(F.col(value) > before, F.lit(True)))
 
 
-def exponential_mean(df: DataFrame, value: str, by: list[str], order: list[str], keep: float = 0.95) -> DataFrame:
+def exponential_mean(df: DataFrame, value: str, by: list[str], order: list[str], keep: float = 0.95, digits: int | None = 6) -> DataFrame:
     """s <- keep s + (1 - keep) x from 0, over all rows before; a null value counts as 0.
 
     In closed form: rows are numbered, blocks of rows summed with their decay,
@@ -43,7 +43,7 @@ def exponential_mean(df: DataFrame, value: str, by: list[str], order: list[str],
         placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     placed = placed.withColumns({"_i": F.col("_i").cast("long") - 1, "_x": F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * (1 - keep)})
     most = (placed.agg(F.max("_i")).first()[0] or 0) + 1
-    return _decayed(placed, by, keep, most).withColumn("ema", F.round("_s", 6)).drop("_i", "_x", "_s")
+    return _decayed(placed, by, keep, most).withColumn("ema", F.col("_s") if digits is None else F.round("_s", digits)).drop("_i", "_x", "_s")
 
 
 def _decayed(df: DataFrame, by: list[str], keep: float, most: int) -> DataFrame:
@@ -73,3 +73,15 @@ def loss_figures(df: DataFrame, loss: str, epoch: str, *by: str) -> DataFrame:
         F.round(F.avg(loss), 6).alias("mean"), F.round(F.stddev_pop(loss), 6).alias("std"), F.min(loss).alias("least"), F.max(loss).alias("greatest"),
         F.min_by(epoch, F.struct(loss, epoch)).alias("best_epoch"), F.round(F.regr_slope(F.col(loss), F.col(epoch)), 6).alias("slope"), F.round(F.regr_intercept(F.col(loss), F.col(epoch)), 6).alias("intercept"),
     )
+
+
+def global_step(epoch: Column, step: Column, steps: Column | int) -> Column:
+    """The number of a step over all epochs."""
+    return epoch * steps + step
+
+
+def remaining(df: DataFrame, seconds: str, order: str, epochs: int) -> DataFrame:
+    """Of each epoch of a run (as few rows as epochs) the mean duration so far and the seconds that the epochs left will take."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    done = F.row_number().over(Window.orderBy(order))
+    return df.withColumns({"mean_seconds": F.round(F.avg(seconds).over(w), 6), "eta_seconds": F.round(F.avg(seconds).over(w) * F.greatest(F.lit(0), F.lit(epochs) - done), 4)})

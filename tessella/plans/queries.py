@@ -955,17 +955,16 @@ def gen_filter(spark, d):
     return table(spark, d, "augmented").where(A.acceptable(t) & A.long_enough(t)).select("aug_id", "text")
 
 
-@query("SELECT aug_id, 'Rewrite as ' || source || ': ' || coalesce(text, '') || ' [/INST] \"' || coalesce(text, '') || '\"' AS prompt FROM augmented WHERE source IS NOT NULL")
+@query("SELECT aug_id, 'Rewrite as ' || coalesce(source, '') || ': ' || coalesce(text, '') || ' [/INST] \"' || coalesce(text, '') || '\"' AS prompt FROM augmented")
 def prompts(spark, d):
     p = A.prompt('Rewrite as {source}: {text} [/INST] "{text}"', source=F.col("source"), text=F.col("text"))
-    return table(spark, d, "augmented").where("source is not null").select("aug_id", p.alias("prompt"))
+    return table(spark, d, "augmented").select("aug_id", p.alias("prompt"))
 
 
-@query("SELECT aug_id, trim(trim(trim(text), '\"')) AS response FROM augmented WHERE text IS NOT NULL AND NOT contains(text, '[/INST]') AND NOT contains(text, '</s>')")
+@query("SELECT aug_id, trim(trim(trim(string_split(list_last(string_split('<s>[INST] write [/INST] \"' || text || '\"</s>', '[/INST]')), '</s>')[1]), '\"')) AS response FROM augmented")
 def responses(spark, d):
-    a = table(spark, d, "augmented").where("text is not null and not contains(text, '[/INST]') and not contains(text, '</s>')")
     made = F.concat(F.lit("<s>[INST] write [/INST] \""), "text", F.lit("\"</s>"))
-    return a.select("aug_id", A.response(made).alias("response"))
+    return table(spark, d, "augmented").select("aug_id", A.response(made).alias("response"))
 
 
 @query("SELECT generated_at[1:8] AS day, count(*) AS n, max(generated_at) AS latest FROM augmented WHERE generated_at IS NOT NULL GROUP BY day")
