@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import keys as K
 from tessella.functions import labels as L
 from tessella.functions import text as X
-from tessella.functions.stemming import english, stem
+from tessella.functions.stemming import english, stem, stemmed
 from tessella.operators import augmentation as A
 from tessella.operators import inference as N
 from tessella.schema import LABELS
@@ -93,6 +93,31 @@ def test_stems():
     assert stem("casas", "es") == "cas" and stem("word", None) == "word"
 
 
+# Words and stems of the published sample vocabularies.
+SAMPLES = {
+    "en": "consign consign consigned consign consigning consign consignment consign consistency consist consistent consist consistently consist consolation consol consolatory consolatori console consol knackeries knackeri knave knave knaves knave kneaded knead knees knee knife knife knightly knight knitted knit knitting knit knives knive knocker knocker generously generous dying die news news skies sky cries cri ties tie gas gas this this kiwis kiwi hopping hop hoping hope national nation relational relat happy happi saying say by by say say communication communic university univers",
+    "ru": "в в вавиловка вавиловк вагнера вагнер вагонов вагон вагоном вагон важная важн важнее важн важнейшие важн важничал важнича важности важност важностью важност важный важн вазах ваз валандался валанда валериановых валерианов валетами валет павел павел павильонам павильон павлиньим павлин павловной павловн падает пада падал пада падаль падал падающего пада падение паден падет падет падучая падуч падчерицей падчериц падших падш",
+    "es": "cheque chequ chequeo cheque cheques chequ chesca chesc chetumaleños chetumaleñ chía chi chiapaneca chiapanec chica chic chicharrones chicharron torá tor tórax torax torcer torc toreado tor toreándolo tor torear tor toreó tore torero torer tormentas torment tornado torn torneo torne tornillos tornill torniquete torniquet torpedearon torped torpeza torpez torrenciales torrencial torreón torreon torrescano torrescan",
+    "fr": "continu continu continuait continu continuation continu continué continu continuelle continuel continuellement continuel continueront continu continuité continu contorsions contors contournait contourn contractions contract contradictoirement contradictoir contraindre contraindr contraires contrair contraria contrari mains main maintenaient mainten maintenue maintenu maires mair mairie mair maïs maï maîtresse maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majeure majeur majordomes majordom majorité major",
+    "it": "abbandonata abbandon abbandonerà abbandon abbandono abband abbaruffato abbaruff abbassamento abbass abbassandola abbass abbassarsi abbass abbassassero abbass abbastanza abbast abbatté abbatt abbattere abbatt abbattesse abbattess abbattimento abbatt abbattuta abbatt abbellita abbell abbenché abbenc pronto pront pronuncerà pronunc pronunciamento pronunc pronunziano pronunz propaganda propagand propagazione propag propende prop propensione propension propone propon",
+    "pt": "boa boa bôas bôas boataria boat boates boat bobagem bobag bobalhões bobalhõ bobear bob bobeira bobeir bobinho bobinh bocadas boc bocado boc bocarra bocarr bodoque bodoqu boemia boem boêmios boêmi boiando boi quiabo quiab quicaram quic quietos quiet quilates quilat quilométricas quilométr quilômetro quilômetr",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SAMPLES))
+def test_published_stems(lang):
+    w = SAMPLES[lang].split()
+    assert {a: stem(a, lang) for a in w[::2]} == dict(zip(w[::2], w[1::2]))
+
+
+def test_stems_of_odd_words(spark):
+    for lang in ("en", "ru", "es", "fr", "it", "pt", "tr", "xx", None):
+        for w in ("", "a", "y", "'", "ё", "ж", "s", "ss", "qu", "é", "ь", "123", "a" * 5000, "ı", "x" * 5000 + "ing"):
+            assert isinstance(stem(w, lang), str)
+    df = spark.createDataFrame([(["running", ""], "en"), (None, "ru"), (["дома"], "ru"), (["evlerden"], "tr")], "w array<string>, l string")
+    assert [r[0] for r in df.select(stemmed(F.col("w"), F.col("l"))).collect()] == [["run", ""], None, ["дом"], ["evler"]]
+
+
 def test_generated(spark):
     t = '<s>[INST] q [/INST] "hello you there"</s> rest'
     assert one(spark, t, A.response) == "hello you there"
