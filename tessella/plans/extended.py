@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -18,29 +16,25 @@ from ..operators import weights as W
 from ..operators import windows as V
 from ..schema import LABELS, LANGS, is_pos
 from ..sources import files as FS
-from ..sources.tables import keep, shared_folder, table
+from ..sources.tables import scratch, table
 from .queries import _DRAW, _PRED, _RARE, _SPLIT_COLS, _SQL_SPACE, _TREE, _VALUES, SQL, _pred, _raw, _sets, _split, _wide_split, query
 
 _LABEL_LIST = ", ".join(f"'{x}'" for x in LABELS)
 
 
-def _fresh(spark, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 # --- files -------------------------------------------------------------------
 
 
 @query("SELECT lang, count(*) AS n FROM split GROUP BY lang")
 def json_stats(spark, d):
-    at = _fresh(spark, "json")
+    at = scratch(spark, "json")
     FS.write_json(_split(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), at)
     return FS.read_log(spark, at, "lang string, n long")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def metric_log(spark, d):
-    at = _fresh(spark, "log")
+    at = scratch(spark, "log")
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     FS.logged(e.where("event_type <> 'error' or event_type is null"), at, 10_000)
     FS.logged(e.where("event_type = 'error'"), at, 10_000)
@@ -59,7 +53,7 @@ def evaluation_tree(spark, d):
 
 @query(f"SELECT row_id, lang_id, label, y, p FROM {_PRED} WHERE label IN ({_LABEL_LIST})")
 def prediction_matrix(spark, d):
-    at = _fresh(spark, "matrix")
+    at = scratch(spark, "matrix")
     FS.prediction_matrix(_pred(spark, d), LABELS).write.parquet(at)
     return FS.predictions_of_matrix(spark.read.parquet(at), LABELS)
 
@@ -163,6 +157,12 @@ def vocab_common(spark, d):
     return words("val").intersect(words("test"))
 
 
+@query()
+def detected_language(spark, d):
+    t = F.coalesce("comment_text", F.lit(""))
+    return _wide_split(spark, d).select("row_id", N.detect_by_rules(t, N.detect_by_stop_words(t, X.stop_words(spark))).alias("detected"))
+
+
 # --- model inputs and explanation --------------------------------------------
 
 _WORDS = f"list_filter(string_split_regex(comment_text, '[{_SQL_SPACE}]+'), lambda x: x <> '')"

@@ -24,7 +24,7 @@ from ..operators import windows as V
 from ..schema import CLI_THRESHOLDS, LABELS, LANGS, LOGIT_OFFSETS, SERVING_THRESHOLDS, is_pos
 from ..session import ship
 from ..sources import files as FS
-from ..sources.tables import keep, shared_folder, spread, table
+from ..sources.tables import keep, scratch, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,9 +109,7 @@ def text_len_stats(spark, d):
 
 @query("SELECT raw_id, comment_text, toxic, lang FROM comments_raw")
 def csv_roundtrip(spark, d):
-    import uuid
-
-    at = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    at = scratch(spark, "csv")
     FS.write_csv(_raw(spark, d).select("raw_id", "comment_text", "toxic", "lang"), at, rows_a_file=10_000)
     return FS.read_csv(spark, at, "raw_id long, comment_text string, toxic double, lang string")
 

@@ -54,9 +54,14 @@ def text_column(df: DataFrame) -> str:
     raise ValueError("no text column among " + ", ".join(df.columns))
 
 
-def latest(pattern: str) -> str:
-    """The last file of a pattern in order of name."""
-    found = sorted(glob.glob(pattern))
+def latest(pattern: str, spark: SparkSession | None = None) -> str:
+    """The last file of a pattern in order of name; with a session, on whatever file system the path names."""
+    if spark is None:
+        found = sorted(glob.glob(pattern))
+    else:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        statuses = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        found = sorted(x.getPath().toString() for x in statuses or [])
     if not found:
         raise FileNotFoundError(pattern)
     return found[-1]

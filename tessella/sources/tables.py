@@ -35,15 +35,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder; what is written there is removed when the application ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(conf)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{at}/data"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, a lost executor loses nothing.
 
     The folder is removed when the application ends.
     """
     spark = df.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    at = scratch(spark, "kept")
     df.write.option("compression", "zstd").parquet(at)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(conf).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)

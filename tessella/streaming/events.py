@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import scratch
 
 
 def hourly_figures(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -18,26 +16,34 @@ def hourly_figures(events: DataFrame, late: str = "2 hours") -> DataFrame:
 def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over all there is now, into files of the shared folder, and read them."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = df.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
+    at = scratch(spark, "stream")
+    q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/data")
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
-def hourly(spark: SparkSession, path: str) -> DataFrame:
-    """The windowed figures of a file of events, run as a stream, with the last open hours added from a complete pass over the end.
+def partial_figures(stream: DataFrame, at: str) -> None:
+    """Counts and sums per user and hour of each micro-batch, in a folder of its own; a batch that is run again replaces its folder.
 
-    Append mode gives a window once the watermark has passed it; the windows
-    still open when the stream ends are computed from the events of their hours.
+    The query holds no state, so no event is too late, and the figures of any
+    time are the sums over the batches so far.
     """
+
+    def add(batch: DataFrame, number: int) -> None:
+        per = batch.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("values"), F.sum("value").alias("total"))
+        per.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def hourly(spark: SparkSession, path: str) -> DataFrame:
+    """Count and mean per user and hour of the events of a file, run as a stream; late events count, null values do not enter the mean."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rstrip("/").rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name if "." in name else "*")
-    stream = source.parquet(folder)
+    at = scratch(spark, "stream")
     # a timestamp without zone is read as the session's
-    closed = run_to_table(hourly_figures(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
-    last = closed.agg(F.max("hour").alias("_last")).select(F.date_format("_last", "yyyy-MM-dd HH:mm:ss")).first()[0]
-    batch = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("hour", F.date_trunc("hour", "ts"))
-    open_ = batch if last is None else batch.where(F.col("hour") > F.to_timestamp(F.lit(last)))
-    rest = open_.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    return closed.unionByName(rest)
+    partial_figures(source.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")), at)
+    kinds = f"user_id {schema['user_id'].dataType.simpleString()}, hour timestamp, n long, values long, total double, batch long"
+    parts = spark.read.schema(kinds).parquet(f"{at}/out")
+    return parts.groupBy("user_id", "hour").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("values"), 6).alias("mean"))

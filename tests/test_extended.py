@@ -138,3 +138,21 @@ def test_saved_classifier(spark, tmp_path):
     A.save_model(m, f"{tmp_path}/model")
     a, b = ([r.probability_1 for r in A.probability(x, df, "text").collect()] for x in (m, A.load_model(f"{tmp_path}/model")))
     assert a == b and a[0] < 0.5 < a[2]
+
+
+def test_language_by_stop_words(spark):
+    df = spark.createDataFrame([("this is not what the rules say",), ("esto no es lo que dicen las reglas",), ("это не то что мы хотели",), ("zzz qqq",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(N.detect_by_stop_words(F.col("t"), X.stop_words(spark))).collect()]
+    assert got == ["en", "es", "ru", None, None, None]
+
+
+def test_hours_of_several_files_with_late_events(spark, tmp_path):
+    from tessella.streaming.events import hourly
+
+    import datetime as dt
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    for k, rows in enumerate(([(1, at(9, 0), 1.0), (1, at(9, 30), None)], [(1, at(20, 0), 5.0)], [(1, at(9, 45), 4.0), (2, at(9, 1), None)])):
+        spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    got = {(r.user_id, r.hour.hour): (r.n, r["mean"]) for r in hourly(spark, str(tmp_path / "events" / "*.parquet")).collect()}
+    assert got == {(1, 9): (3, 2.5), (1, 20): (1, 5.0), (2, 9): (1, None)}

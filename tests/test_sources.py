@@ -23,8 +23,11 @@ def test_helpers(spark, tmp_path):
     for n in ("r_1.csv", "r_3.csv", "r_2.csv"):
         (tmp_path / n).write_text("x")
     assert FS.latest(str(tmp_path / "r_*.csv")).endswith("r_3.csv")
+    assert FS.latest(str(tmp_path / "r_*.csv"), spark).endswith("r_3.csv")
     with pytest.raises(FileNotFoundError):
         FS.latest(str(tmp_path / "none*"))
+    with pytest.raises(FileNotFoundError):
+        FS.latest(str(tmp_path / "none*"), spark)
     assert FS.derived_path("a/b.csv", "cleaned") == "a/b_cleaned.csv"
     assert FS.text_column(spark.createDataFrame([(1, "x")], "id int, Comment_Text string")) == "Comment_Text"
     with pytest.raises(ValueError):
