@@ -67,7 +67,7 @@ CONTRACTIONS = {
     "you're": "you are",
     "you've": "you have",
 }
-_STOP_LISTS = {"en": "english", "es": "spanish", "fr": "french", "it": "italian", "pt": "portuguese", "ru": "russian", "tr": "turkish"}
+STOP_LISTS = {"en": "english", "es": "spanish", "fr": "french", "it": "italian", "pt": "portuguese", "ru": "russian", "tr": "turkish"}
 
 
 def _sub(c: Column, pattern: str, by: str = "") -> Column:
@@ -188,7 +188,7 @@ def stop_words(spark) -> dict[str, list[str]]:
     """Spark's stop words of the seven languages."""
     from pyspark.ml.feature import StopWordsRemover
 
-    return {x: StopWordsRemover.loadDefaultStopWords(n) for x, n in _STOP_LISTS.items()}
+    return {x: StopWordsRemover.loadDefaultStopWords(n) for x, n in STOP_LISTS.items()}
 
 
 def without_stop_words(words: Column, lang: Column, lists: dict[str, Iterable[str]]) -> Column:

@@ -218,12 +218,41 @@ def accents_removed(spark, d):
     return _raw(spark, d).select("raw_id", X.without_accents("comment_text").alias("plain"))
 
 
-@query()
+_LOWERED = "lower(replace(comment_text, 'İ', 'i̇'))"
+
+
+def _expanded(c: str) -> str:
+    """Contractions written out one after the other, longer ones first."""
+    for short in sorted(X.CONTRACTIONS, key=len, reverse=True):
+        c = f"regexp_replace({c}, '\\b{_q(short)}\\b', '{_q(X.CONTRACTIONS[short])}', 'g')"
+    return c
+
+
+@query(f"SELECT raw_id, {_expanded(_LOWERED)} AS expanded FROM comments_raw WHERE lang = 'en'")
 def contractions(spark, d):
     return _raw(spark, d).where("lang = 'en'").select("raw_id", X.expand_contractions(F.lower("comment_text")).alias("expanded"))
 
 
-@query()
+def _stop_list(name: str) -> str:
+    """A stop list of Spark's as SQL literals, read from the library's archive; a list that is not there is empty."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            at = f"org/apache/spark/ml/feature/stopwords/{name}.txt"
+            if at in z.namelist():
+                return ", ".join(f"'{_q(w)}'" for w in sorted(set(z.read(at).decode().split("\n"))))
+    return "''"
+
+
+_KEPT = "CASE lang " + " ".join(f"WHEN '{x}' THEN list_filter(ws, lambda w: w NOT IN ({_stop_list(n)}))" for x, n in X.STOP_LISTS.items()) + " ELSE ws END"
+
+
+@query(f"SELECT raw_id, {_KEPT} AS kept FROM (SELECT raw_id, lang, list_filter(string_split_regex({_LOWERED}, '[{_SQL_SPACE}]+'), lambda x: x <> '') AS ws FROM comments_raw)")
 def stopwords_filter(spark, d):
     c = X.without_stop_words(X.tokens(F.lower("comment_text")), F.col("lang"), X.stop_words(spark))
     return _raw(spark, d).select("raw_id", c.alias("kept"))
