@@ -26,7 +26,7 @@ from ..sources.tables import keep
 from .similar import _ODD, HASH_BITS, WordHashes, _mix, keyed, list_partitions, long_lists, met, only, overlap, sorted_lists
 from .textforms import words
 
-RUN, WINDOW = 5, 10
+RUN, WINDOW = 5, 16
 SEED_RUN = 3  # words of a seed where two records share no fingerprint
 #: A fingerprint that two texts repeat so often (product of both numbers) seeds them in order only.
 _REPEATS = 256
