@@ -90,14 +90,20 @@ def unaccented(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit("")))
 
 
-def fit_classifiers(df: DataFrame, text: str, labels: list[str], **options) -> tuple[PipelineModel, dict[str, LogisticRegressionModel | None]]:
+def fit_classifiers(df: DataFrame, text: str, labels: list[str], **options) -> tuple[PipelineModel | None, dict[str, LogisticRegressionModel | None]]:
     """(features, a model per 0/1 label column): terms are counted once over all rows, then each label is fitted on the rows where it is not null.
 
-    A label without rows of both classes has no model.
+    A label without rows of both classes has no model.  Where no term occurs
+    in enough texts there are neither features nor models.
     """
     stages = classifier(**options).getStages()
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *labels)
-    features = Pipeline(stages=stages[:-1]).fit(rows)
+    if rows.isEmpty():
+        return None, dict.fromkeys(labels)
+    counted = Pipeline(stages=stages[:-2]).fit(rows)
+    if not counted.stages[-1].vocabulary:
+        return None, dict.fromkeys(labels)
+    features = PipelineModel([counted, stages[-2].fit(counted.transform(rows))])
     ready = features.transform(rows).select("features", *labels).persist()
     n = ready.agg(*[F.count_if(F.col(x) == v).alias(f"{x}_{v}") for x in labels for v in (0, 1)]).first()
     models: dict[str, LogisticRegressionModel | None] = {}
@@ -109,8 +115,10 @@ def fit_classifiers(df: DataFrame, text: str, labels: list[str], **options) -> t
     return features, models
 
 
-def probabilities(features: PipelineModel, models: dict[str, LogisticRegressionModel | None], df: DataFrame, text: str, key: str = "row_id") -> DataFrame:
+def probabilities(features: PipelineModel | None, models: dict[str, LogisticRegressionModel | None], df: DataFrame, text: str, key: str = "row_id") -> DataFrame:
     """`key` and the probability of each label; null where it has no model."""
+    if features is None:
+        return df.select(key, *[F.lit(None).cast("double").alias(x) for x in models])
     out = features.transform(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(key, "features")
     for x, m in models.items():
         if m is None:

@@ -152,7 +152,7 @@ def bootstrap_auc(df: DataFrame, *by: str, replicates: int = 1000, seed: int = 7
 
 
 def roc_band(df: DataFrame, *by: str, replicates: int = 1000, points: int = 100, seed: int = 7) -> DataFrame:
-    """Mean true-positive rate on a grid of false-positive rates over bootstrap replicates, with one deviation below and above, within 0 and 1."""
+    """Mean true-positive rate on a grid of false-positive rates over bootstrap replicates, with one deviation below and above, within 0 and 1.  Replicates without rows of both classes do not count."""
     from .sampling import bootstrap_counts
 
     keys = [*by, "replicate"]
@@ -160,7 +160,7 @@ def roc_band(df: DataFrame, *by: str, replicates: int = 1000, points: int = 100,
     c = drawn.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y") == 1, F.col("times")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") != 1, F.col("times")).otherwise(0)).alias("b"))
     w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*keys)
-    c = c.withColumns({"x1": F.sum("b").over(w) / F.sum("b").over(all_), "y1": F.sum("a").over(w) / F.sum("a").over(all_)}).where("x1 is not null and y1 is not null")
+    c = c.withColumns({"x1": F.try_divide(F.sum("b").over(w), F.sum("b").over(all_)), "y1": F.try_divide(F.sum("a").over(w), F.sum("a").over(all_))}).where("x1 is not null and y1 is not null")
     o = Window.partitionBy(*keys).orderBy(F.desc("p"))
     c = c.withColumns({"x0": F.coalesce(F.lag("x1").over(o), F.lit(0.0)), "y0": F.coalesce(F.lag("y1").over(o), F.lit(0.0))})
     first, last = F.ceil(F.col("x0") * (points - 1)), F.floor(F.col("x1") * (points - 1))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import noisy
+from ..functions.labels import noisy, uniform
 from .ranking import by_draw, equal_ranges, running
 
 
@@ -114,18 +114,23 @@ def trimmed_to_total(df: DataFrame, amount: str, most: int, by: list[str], order
     return out.withColumn("running", F.col("_amount") + F.coalesce(F.col(amount), F.lit(0))).drop("_amount").where(F.col("running") <= most)
 
 
-def bootstrap_counts(df: DataFrame, replicates: int, key: str = "row_id", seed: int = 7) -> DataFrame:
-    """For each replicate how often a row is drawn: Poisson(1), the bootstrap that needs no common count; rows drawn 0 times are left out."""
-    u = (F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(19):  # beyond, the probability is under the resolution of the draw
+def poisson_edges() -> list[float]:
+    """Edges of a uniform draw between 0, 1, 2 ... occurrences at mean 1, as far as a draw of 52 bits resolves them."""
+    edges, total, term = [], 0.0, math.exp(-1)
+    for k in range(19):
         total += term
         edges.append(total)
         term /= k + 1
+    return edges
+
+
+def bootstrap_counts(df: DataFrame, replicates: int, key: str = "row_id", seed: int = 7) -> DataFrame:
+    """For each replicate how often a row is drawn: Poisson(1), the bootstrap that needs no common count; rows drawn 0 times are left out."""
+    edges = poisson_edges()
     times = F.lit(len(edges))
     for k in range(len(edges) - 1, -1, -1):
         times = F.when(F.col("_u") < edges[k], k).otherwise(times)
-    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", u)
+    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", uniform(str(seed), key, "replicate"))
     return each.withColumn("times", times.cast("int")).where("times > 0").drop("_u")
 
 

@@ -64,7 +64,7 @@ def focal(s: DataFrame, params: DataFrame | None = None) -> DataFrame:
     top = F.when((F.col("lang") == "en") & (F.col("label") == "threat"), F.least(F.col("max_weight"), F.lit(15.0))).when(F.col("label") == "identity_hate", F.least(F.col("max_weight"), F.lit(10.0))).otherwise(F.col("max_weight"))
     alpha = F.col("alpha") / (F.col("alpha") + (1 - F.col("alpha")) * (1 - pt))
     raw = alpha * F.pow(1 - pt, F.col("gamma")) / (pt + eps)
-    severity = (1 + F.log1p(total) / F.log1p(F.col("support_1"))) / 2
+    severity = (1 + F.try_divide(F.log1p(total), F.log1p(F.col("support_1")))) / 2
     raw = F.when(F.col("label").isin(*SEVERE), raw * severity).otherwise(raw) * F.col("boost_factor")
     none, empty = F.col("support_1") == 0, (F.col("support_0") + F.col("support_1")) == 0
     return s.withColumn("effective_max", top).withColumn("raw_weight_1", F.when(empty, 1.0).when(none, F.col("max_weight")).otherwise(raw)).withColumn(

@@ -199,13 +199,13 @@ def clean_text_v2(spark, d):
 @query(f"""
 WITH t AS ({_TOKENS}), before AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(list_filter(string_split_regex(coalesce(comment_text, ''), '[{_SQL_SPACE}]+'), lambda x: x <> '')) AS w FROM comments_raw)),
 after AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(ws) AS w FROM t))
-SELECT b.n AS before, a.n AS after, round((b.n - a.n) * 100.0::DOUBLE / b.n, 4) AS reduction FROM before b, after a""")
+SELECT b.n AS before, a.n AS after, round((b.n - a.n) * 100.0::DOUBLE / nullif(b.n, 0), 4) AS reduction FROM before b, after a""")
 def vocab_stats(spark, d):
     raw = _wide_raw(spark, d)
     words = lambda c: raw.select(F.explode(X.tokens(c)).alias("w")).agg(F.count_distinct("w").alias("n"))
     before = words(F.coalesce("comment_text", F.lit(""))).first()[0]
     a = words(X.preprocess(F.col("comment_text"), F.col("lang"), contractions=False))
-    return a.select(F.lit(before).cast("long").alias("before"), F.col("n").alias("after")).withColumn("reduction", F.round((F.col("before") - F.col("after")) * 100.0 / F.col("before"), 4))
+    return a.select(F.lit(before).cast("long").alias("before"), F.col("n").alias("after")).withColumn("reduction", F.round(F.try_divide((F.col("before") - F.col("after")) * 100.0, F.col("before")), 4))
 
 
 @query()
@@ -665,7 +665,14 @@ def trim_to_quota(spark, d):
     return G.trimmed_to_total(a, "chars", 20_000, ["source"], "aug_id").select("source", "aug_id", "running")
 
 
-@query()
+def _drawn(frm: str, cols: str) -> str:
+    """Rows of a subquery with their number of occurrences in each of 1,000 replicates."""
+    times = "CASE " + " ".join(f"WHEN u < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(G.poisson_edges())) + " ELSE 19 END"
+    u = "(('0x' || substring(md5('7|' || row_id::VARCHAR || '|' || replicate::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+    return f"(SELECT * FROM (SELECT {cols}, replicate, {times} AS times FROM (SELECT *, {u} AS u FROM {frm} s, (SELECT unnest(generate_series(1, 1000)) AS replicate) r)) WHERE times > 0)"
+
+
+@query(f"SELECT replicate::INTEGER AS replicate, lang, sum(times)::BIGINT AS n FROM {_drawn('split', 'lang')} GROUP BY replicate, lang")
 def bootstrap_sample(spark, d):
     return G.bootstrap_counts(_split(spark, d).select("row_id", "lang"), 1000).groupBy("replicate", "lang").agg(F.sum("times").alias("n"))
 
@@ -799,12 +806,25 @@ def roc_by_lang(spark, d):
     return M.roc(_pred(spark, d).where("label = 'toxic'"), "lang_id")
 
 
-@query()
+_BOOT = f"(SELECT label, replicate, p, coalesce(sum(times) FILTER (WHERE y = 1), 0) AS a, coalesce(sum(times) FILTER (WHERE y <> 1), 0) AS b FROM {_drawn(_PRED, 'label, y, p')} GROUP BY label, replicate, p)"
+
+
+@query(f"""
+WITH w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY label, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {_BOOT}),
+o AS (SELECT label, replicate, CASE WHEN sum(a) > 0 AND sum(b) > 0 THEN sum(a * (below + b / 2.0::DOUBLE)) / (sum(a)::DOUBLE * sum(b)) END AS auc FROM w GROUP BY label, replicate)
+SELECT label, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std, count(auc) AS replicates FROM o GROUP BY label""")
 def bootstrap_auc(spark, d):
     return M.bootstrap_auc(_pred(spark, d), "label")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT label, replicate, p, sum(b) OVER w / sum(b) OVER g::DOUBLE AS x1, sum(a) OVER w / sum(a) OVER g::DOUBLE AS y1 FROM {_BOOT}
+WINDOW w AS (PARTITION BY label, replicate ORDER BY p DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY label, replicate)),
+n AS (SELECT * FROM c WHERE NOT isnan(x1) AND NOT isnan(y1) AND x1 IS NOT NULL AND y1 IS NOT NULL),
+l AS (SELECT *, coalesce(lag(x1) OVER o, 0) AS x0, coalesce(lag(y1) OVER o, 0) AS y0 FROM n WINDOW o AS (PARTITION BY label, replicate ORDER BY p DESC)),
+k AS (SELECT *, unnest(generate_series(ceil(x0 * 99)::BIGINT, floor(x1 * 99)::BIGINT)) AS k FROM l WHERE ceil(x0 * 99) <= floor(x1 * 99)),
+t AS (SELECT label, replicate, k, max(CASE WHEN k = 0 THEN 0 WHEN x1 > x0 THEN y0 + (y1 - y0) * (k / 99.0::DOUBLE - x0) / (x1 - x0) ELSE y1 END) AS tpr FROM k GROUP BY label, replicate, k)
+SELECT label, k, round(avg(tpr), 6) AS tpr, round(greatest(0, avg(tpr) - stddev_pop(tpr)), 6) AS low, round(least(1, avg(tpr) + stddev_pop(tpr)), 6) AS high FROM t GROUP BY label, k""")
 def roc_band(spark, d):
     return M.roc_band(_pred(spark, d), "label")
 
@@ -1012,6 +1032,12 @@ def text_classifier(spark, d):
     return A.probabilities(*fitted, rows.where("split is null or split <> 'train'"), "text").select("row_id", *[F.round(x, 4).alias(x) for x in LABELS])
 
 
+@query()
+def classifier_results(spark, d):
+    scores = text_classifier(spark, d).na.fill(0.0, LABELS)
+    return N.results(scores, SERVING_THRESHOLDS).select("row_id", *LABELS, "toxic_categories", "is_toxic")
+
+
 _HIT = {x: "|".join(p) for x, (_, p) in E.LEXICON.items()}
 
 

@@ -93,8 +93,8 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def threshold_tree(thresholds: DataFrame) -> DataFrame:
-    """Thresholds as one nested JSON text: language id, label, value.  As small as languages times labels."""
-    per = thresholds.groupBy("lang_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "threshold")))).alias("m"))
+    """Thresholds as one nested JSON text: language id, label, value; rows without a language or label are left out.  As small as languages times labels."""
+    per = thresholds.where("lang_id is not null and label is not null").groupBy("lang_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "threshold")))).alias("m"))
     return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("lang_id").cast("string"), "m")))).alias("json"))
 
 
@@ -105,9 +105,9 @@ def thresholds_of_tree(trees: DataFrame, json: str = "json") -> DataFrame:
 
 
 def weights_tree(weights: DataFrame) -> DataFrame:
-    """Class weights as one nested JSON text: language, label, figures.  As small as languages times labels."""
+    """Class weights as one nested JSON text: language, label, figures; rows without a language or label are left out.  As small as languages times labels."""
     figures = [c for c in weights.columns if c not in ("lang", "label")]
-    per = weights.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.struct(*figures).alias("figures"))))).alias("m"))
+    per = weights.where("lang is not null and label is not null").groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.struct(*figures).alias("figures"))))).alias("m"))
     return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "m")))).alias("json"))
 
 

@@ -156,3 +156,11 @@ def test_hours_of_several_files_with_late_events(spark, tmp_path):
         spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     got = {(r.user_id, r.hour.hour): (r.n, r["mean"]) for r in hourly(spark, str(tmp_path / "events" / "*.parquet")).collect()}
     assert got == {(1, 9): (3, 2.5), (1, 20): (1, 5.0), (2, 9): (1, None)}
+
+
+def test_classifiers_without_terms(spark):
+    df = spark.createDataFrame([(1, "...", 1), (2, None, 0), (3, "a", 1)], "row_id long, text string, toxic int")
+    for rows in (df, df.limit(0)):
+        features, models = A.fit_classifiers(rows, "text", ["toxic"])
+        assert features is None and models == {"toxic": None}
+        assert [r.toxic for r in A.probabilities(features, models, df, "text").collect()] == [None] * 3
