@@ -30,3 +30,20 @@ def test_columns(spark, name, columns):
     df = Q.queries()[name](spark, D)
     assert columns is None or df.columns == columns
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("rows", [0, 4])
+def test_queries_on_empty_and_null_tables(spark, tmp_path, rows):
+    """Every query over tables without rows, and over rows of nothing but keys."""
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    keys = {"row_id", "doc_id", "plan_id", "spec_id", "tokenizer"}
+    for f in ("split", "documents", "target_mix", "pack_spec"):
+        t = pq.read_table(f"{D}/{f}.parquet").slice(0, rows)
+        pq.write_table(pa.table([t[c.name] if c.name in keys else pa.nulls(t.num_rows, c.type) for c in t.schema], schema=t.schema), tmp_path / f"{f}.parquet")
+    per_row = {"p1_segments", "p2_groups", "p4_normalised", "p4_classes", "p6_ids"}
+    for name, run in Q.queries().items():
+        got = run(spark, str(tmp_path)).collect()
+        if name in per_row:
+            assert len(got) == rows, name
+        elif name.endswith("_found") and name != "p3_found":
+            assert got == [], name
