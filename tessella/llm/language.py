@@ -334,7 +334,7 @@ def _switches(model: Model, vectors: np.ndarray, at: np.ndarray, lens: np.ndarra
     return out
 
 
-def segments(spark: SparkSession, df: DataFrame, model: Model | None, key: str = "row_id", text: str = "comment_text", margin: float = 0.6) -> DataFrame:
+def segments(spark: SparkSession, df: DataFrame, model: Model | None, key: str = "row_id", text: str = "comment_text", margin: float = 0.5) -> DataFrame:
     """One row per stretch of one language: `key`, `segment`, `words`, `longest`, `language`, `confidence`.
 
     A sentence takes the language of the whole comment unless another scores
@@ -418,7 +418,7 @@ def _segmented(model: Model, cache: list, b: pa.RecordBatch, margin: float) -> p
     )
 
 
-def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str = "lang", doubt: float = 0.9) -> DataFrame:
+def mislabelled(df: DataFrame, found: DataFrame, key: str = "row_id", lang: str = "lang", doubt: float = 0.8) -> DataFrame:
     """`key`, `true_lang`: comments of one language whose label names another or none, and every language of a mixed comment.
 
     `found` is the result of `segments`.  Only languages with a sentence of
