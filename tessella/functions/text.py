@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .stopwords import STOP_WORDS
+
 # Pieces of patterns that Java and RE2 read alike.
 SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -184,11 +186,9 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
 
 
-def stop_words(spark) -> dict[str, list[str]]:
-    """Spark's stop words of the seven languages."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return {x: StopWordsRemover.loadDefaultStopWords(n) for x, n in STOP_LISTS.items()}
+def stop_words(spark=None) -> dict[str, list[str]]:
+    """Spark's stop words of the seven languages, from the lists of this package; no session is needed."""
+    return {x: STOP_WORDS[n] for x, n in STOP_LISTS.items()}
 
 
 def without_stop_words(words: Column, lang: Column, lists: dict[str, Iterable[str]]) -> Column:
